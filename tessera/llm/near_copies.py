@@ -28,7 +28,6 @@ A row without doc_id gets its group's smallest doc_id, or null. Only doc_id and
 from __future__ import annotations
 
 from collections.abc import Iterator
-from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -57,8 +56,8 @@ class Rule:
         return n * (self.q - self.p) // self.q
 
     def spare(self, n):
-        """k of step 2."""
-        return -(-n * (self.q - self.p) // self.q)
+        """k of step 2: any number from 1 on is right; a third of miss(n) rules out most rows and keeps heads short."""
+        return -(-n * (self.q - self.p) // (3 * self.q))
 
     def needed(self, n):
         """Least k of any row that links to one of n shingles."""
@@ -88,24 +87,26 @@ def _sets(column: pa.Array, k: int) -> Iterator[tuple[tb.Block, list[np.ndarray]
 
 
 def _rows(docs: DataFrame, rule: Rule) -> DataFrame:
-    """doc_id, n, sig (null without words), head: the first shingles in hash order."""
+    """doc_id, row (a number of its own), n, sig (null without words), head: the first shingles in hash order."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        row = TaskContext.get().partitionId() << 40
         for batch in batches:
             for block, sets in _sets(batch.column("text"), rule.k):
+                row += len(block)
                 head = [x[: int(rule.miss(len(x)) + rule.spare(len(x)))] for x in sets]
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column("doc_id").slice(block.first, len(block)), pa.array([len(x) for x in sets], pa.int64()), pa.array([_digest(x) if len(x) else None for x in sets], pa.binary()), _blobs(head)],
-                    ["doc_id", "n", "sig", "head"],
+                    [batch.column("doc_id").slice(block.first, len(block)), pa.array(np.arange(row - len(block), row)), pa.array([len(x) for x in sets], pa.int64()), pa.array([_digest(x) if len(x) else None for x in sets], pa.binary()), _blobs(head)],
+                    ["doc_id", "row", "n", "sig", "head"],
                 )
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, n long, sig binary, head binary")
+    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, row long, n long, sig binary, head binary")
 
 
-def _columns(rows: DataFrame, grams: str, kept: str = "") -> DataFrame:
+def _columns(rows: DataFrame, grams: str) -> DataFrame:
     """block, bucket, count of rows and the distinct shingles of each block of rows, cut by bucket of columns."""
-    buckets = partitions(rows.sparkSession)
+    buckets = 4 * partitions(rows.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -186,7 +187,7 @@ def _with_counts(blocked: DataFrame, step, schema: str) -> DataFrame:
                 found = step(sig, n, grams, np.where(shared[at] == grams, counts[at], np.uint64(1)).astype(np.int64))
                 if found is not None:
                     out.append(found)
-        types = result.types if out else result.types
+        types = result.types
         return pa.Table.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), types, strict=True)] if out else [pa.array([], t) for t in types], schema=result)
 
     from pyspark.sql.pandas.types import to_arrow_schema
@@ -220,27 +221,23 @@ def _postings(classes: DataFrame, rule: Rule) -> DataFrame:
     """column, part, side, and the class's digest, size and sketch for each column that it must be met in."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names = ["column", "part", "side", "cls", "size", "own", "sketch"]
+        types = [pa.int64(), pa.int64(), pa.int32(), pa.binary(), pa.int64(), pa.int64(), pa.binary()]
+        out: list[tuple] = []
         for batch in batches:
-            column, part, side, who, size, own, sketch = [], [], [], [], [], [], []
             for cls, u, blob, counts in zip(batch.column("cls").to_pylist(), batch.column("own").to_pylist(), batch.column("grams").to_pylist(), batch.column("counts").to_pylist(), strict=True):
                 grams = _blob(blob)
                 bits = _sketch(grams).tobytes()
                 need = int(rule.miss(len(grams) + u)) - u + 1
-                for g, c in zip(grams[:need].tolist(), _blob(counts)[:need].tolist(), strict=False):
+                for g, c in zip(grams[:need].view(np.int64).tolist(), _blob(counts)[:need].tolist(), strict=False):
                     chunks = -(-c // CHUNK)
                     mine = int.from_bytes(cls[:8], "little") % chunks
-                    for other in range(chunks):
-                        column.append(g)
-                        part.append(min(mine, other) * chunks + max(mine, other))
-                        side.append(0 if mine == other else 1 + (mine > other))
-                        who.append(cls)
-                        size.append(len(grams))
-                        own.append(u)
-                        sketch.append(bits)
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(np.array(column, np.uint64).view(np.int64)), pa.array(part, pa.int64()), pa.array(side, pa.int32()), pa.array(who, pa.binary()), pa.array(size, pa.int64()), pa.array(own, pa.int64()), pa.array(sketch, pa.binary())],
-                ["column", "part", "side", "cls", "size", "own", "sketch"],
-            )
+                    out += [(g, min(mine, x) * chunks + max(mine, x), 0 if mine == x else 1 + (mine > x), cls, len(grams), u, bits) for x in range(chunks)]
+                if len(out) > 50_000:
+                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), types, strict=True)], names)
+                    out = []
+        if out:
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), types, strict=True)], names)
 
     return classes.mapInArrow(run, "column long, part long, side int, cls binary, size long, own long, sketch binary")
 
@@ -354,11 +351,13 @@ def join(docs: DataFrame, k: int = 5, p: int = 4, q: int = 5) -> DataFrame:
     prepare(docs.sparkSession)
     rule = Rule(k, p, q)
     rows = cut(_rows(docs, rule), "sets")
-    distinct = rows.where("sig is not null").groupBy("sig").agg(F.min("doc_id").alias("least"), F.min("n").alias("n"))
+    order = F.struct(F.col("doc_id").isNull(), "doc_id", "row")
+    distinct = rows.where("sig is not null").groupBy("sig").agg(F.min("doc_id").alias("least"), F.min_by("row", order).alias("first_row"))
     distinct = cut(distinct, "distinct")
 
     # Step 2: of each distinct set one row brings the head.
-    heads = rows.where("sig is not null").select("sig", "n", "head", F.col("doc_id").alias("least")).join(distinct, ["sig", "n", "least"], "left_semi").dropDuplicates(["sig"])
+    copies = rows.where("sig is not null").select("sig", "row").join(distinct, "sig").where("row <> first_row").select("row")
+    heads = key_join(rows.where("sig is not null").select("row", "sig", "n", "head"), copies, ["row"], "left_anti", rows=1_000_000)
     blocked = cut(_blocked(heads, "head"), "heads")
 
     def alive(sig, n, grams, counts):
@@ -383,17 +382,17 @@ def join(docs: DataFrame, k: int = 5, p: int = 4, q: int = 5) -> DataFrame:
 
     # Steps 4 and 5, between the classes.
     heads_of = members.groupBy("cls").agg(F.min("own").alias("own"))
-    classes = cut(members.select("cls", "own", "grams", "counts").join(heads_of, ["cls", "own"], "left_semi").dropDuplicates(["cls"]), "classes")
+    classes = cut(members.select("sig", "cls", "own", "grams", "counts").join(heads_of, ["cls", "own"], "left_semi").dropDuplicates(["cls"]), "classes")
     links = cut(_links(cut(_candidates(_postings(classes, rule), rule), "pairs"), classes, rule), "links")
 
     # A member belongs to its class's component if its own count is within the reach of some link.
     reach = links.select(F.col("a").alias("cls"), F.col("b").alias("other"), "most").unionByName(links.select(F.col("b").alias("cls"), F.col("a").alias("other"), "most"))
     owns = classes.select(F.col("cls").alias("other"), F.col("own").alias("own_other"))
     reach = reach.join(owns, "other").groupBy("cls").agg(F.max(F.col("most") - F.col("own_other")).alias("reach"))
-    inner = classes.select("cls", F.col("own").alias("least_own"), (F.expr(f"(length(grams) div 8 * {q - p}) div {p}") - F.col("own")).alias("inner"))
+    inner = classes.select("cls", F.col("sig").alias("head_sig"), (F.expr(f"(length(grams) div 8 * {q - p}) div {p}") - F.col("own")).alias("inner"))
     roots = components(links).withColumnsRenamed({"node": "cls"})
     joined = members.select("sig", "cls", "own").join(inner, "cls").join(reach, "cls", "left").join(roots, "cls", "left")
-    joined = joined.where("own = least_own or own <= greatest(inner, reach)").select("sig", F.coalesce("root", "cls").alias("root"))
+    joined = joined.where("sig = head_sig or own <= greatest(inner, reach)").select("sig", F.coalesce("root", "cls").alias("root"))
     named = joined.join(distinct.select("sig", "least"), "sig")
     smallest = named.groupBy("root").agg(F.min("least").alias("component"))
     named = named.join(smallest, "root").select("sig", "component")
@@ -403,10 +402,13 @@ def join(docs: DataFrame, k: int = 5, p: int = 4, q: int = 5) -> DataFrame:
 
 
 def first_of_each(docs: DataFrame, k: int = 5, p: int = 4, q: int = 5) -> DataFrame:
-    """The rows of docs whose doc_id is the smallest of its component, one row of each; others are near copies.
-
-    Rows without doc_id stay, as nothing names them."""
-    found = join(docs, k, p, q)
-    stay = found.where("component_id = doc_id").select("doc_id").distinct()
-    named = docs.where("doc_id is not null").dropDuplicates(["doc_id"])
-    return key_join(named, stay, ["doc_id"], "left_semi").select(*docs.columns).unionByName(docs.where("doc_id is null"))
+    """The rows of docs whose doc_id is the smallest of its component; the others are near copies. Of equal rows with
+    one doc_id a single one stays. Rows without doc_id stay, as nothing names them."""
+    found = cut(join(docs, k, p, q), "components")
+    gone = found.where("component_id <> doc_id").select("doc_id").distinct()
+    stay = key_join(docs, gone, ["doc_id"], "left_anti", rows=1_000_000)
+    again = found.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").select("doc_id")
+    if again.isEmpty():
+        return stay.select(*docs.columns)
+    twice = key_join(stay, again, ["doc_id"], "left_semi").dropDuplicates(["doc_id", "text"])
+    return key_join(stay, again, ["doc_id"], "left_anti").select(*docs.columns).unionByName(twice.select(*docs.columns))
