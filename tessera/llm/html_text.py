@@ -24,7 +24,7 @@ from tessera.llm.cluster import prepare
 # Elements by their part in a page.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style textarea title xmp iframe noembed noframes".split())
-NEVER = frozenset("script style textarea title xmp iframe noembed noframes noscript template head nav aside footer form button select option input svg math canvas object audio video dialog menu figure".split()) - {"figure"}
+NEVER = frozenset("script style textarea title xmp iframe noembed noframes noscript template head nav aside footer form button select option input svg math canvas object audio video dialog menu".split())
 INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr".split())
 SCOPE = frozenset("html body article main section div td th table ul ol dl blockquote li".split())
 CLOSED_BY_BLOCK = frozenset(["p"])

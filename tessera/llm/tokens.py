@@ -55,12 +55,14 @@ class Library:
             model.no_truncation()
             model.no_padding()
             self.one = lambda text: model.encode(text, add_special_tokens=False).ids
+            self.decode = lambda ids: model.decode(ids, skip_special_tokens=False)
             self.special = sorted(t.content.encode() for t in model.get_added_tokens_decoder().values())
         else:
             import sentencepiece
 
             model = sentencepiece.SentencePieceProcessor(model_file=path)
             self.one = lambda text: model.encode(text, num_threads=1)
+            self.decode = model.decode
             self.special = []
 
     def block(self, block: tb.Block) -> tuple[np.ndarray, np.ndarray]:
