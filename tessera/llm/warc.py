@@ -105,7 +105,7 @@ def write(pages: DataFrame, folder: str | None = None) -> DataFrame:
                 if out is None:
                     name = f"{base}/part-{task.partitionId():05d}-{task.taskAttemptId()}-{serial}.warc.gz"
                     system.create_dir(base, recursive=True)
-                    out = system.open_output_stream(name)
+                    out = system.open_output_stream(name, compression=None)
                 member = record(page_id, url, sha1, length, None if text is None else text.encode(), target)
                 out.write(member)
                 size, n = size + len(member), n + 1
