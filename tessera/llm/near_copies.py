@@ -36,7 +36,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessera.llm import textblocks as tb
-from tessera.llm.cluster import cut, key_join, partitions, prepare
+from tessera.llm.cluster import cut, discard, key_join, partitions, prepare
 
 #: Bits of a parity sketch, in 64-bit words.
 SKETCH = 4
@@ -56,8 +56,8 @@ class Rule:
         return n * (self.q - self.p) // self.q
 
     def spare(self, n):
-        """k of step 2: any number from 1 on is right; a third of miss(n) rules out most rows and keeps heads short."""
-        return -(-n * (self.q - self.p) // (3 * self.q))
+        """k of step 2: any number from 1 on is right; half of miss(n) rules out most rows and keeps heads short."""
+        return -(-n * (self.q - self.p) // (2 * self.q))
 
     def needed(self, n):
         """Least k of any row that links to one of n shingles."""
@@ -355,6 +355,8 @@ def join(docs: DataFrame, k: int = 5, p: int = 4, q: int = 5) -> DataFrame:
     distinct = rows.where("sig is not null").groupBy("sig").agg(F.min("doc_id").alias("least"), F.min_by("row", order).alias("first_row"))
     distinct = cut(distinct, "distinct")
 
+    names = cut(rows.select("doc_id", "n", "sig"), "names")
+
     # Step 2: of each distinct set one row brings the head.
     copies = rows.where("sig is not null").select("sig", "row").join(distinct, "sig").where("row <> first_row").select("row")
     heads = key_join(rows.where("sig is not null").select("row", "sig", "n", "head"), copies, ["row"], "left_anti", rows=1_000_000)
@@ -364,6 +366,8 @@ def join(docs: DataFrame, k: int = 5, p: int = 4, q: int = 5) -> DataFrame:
         return (sig,) if int((counts > 1).sum()) >= min(rule.needed(n), len(grams)) else None
 
     living = cut(_with_counts(blocked, alive, "sig binary"), "living")
+    del heads, copies
+    discard(rows, blocked)
 
     # Step 3: whole sets of the rows left.
     texts = docs.select("doc_id", "text")
@@ -376,9 +380,13 @@ def join(docs: DataFrame, k: int = 5, p: int = 4, q: int = 5) -> DataFrame:
                 keep = [(s, x) for s, x in zip(wanted[block.first : block.first + len(block)], sets, strict=True) if len(x) and _digest(x) == s]
                 yield pa.RecordBatch.from_arrays([pa.array([s for s, _ in keep], pa.binary()), pa.array([len(x) for _, x in keep], pa.int64()), _blobs([x for _, x in keep])], ["sig", "n", "grams"])
 
-    full = key_join(texts, owners, ["doc_id"], "inner").select("sig", "text").mapInArrow(whole, "sig binary, n long, grams binary").dropDuplicates(["sig"])
+    full = key_join(texts, owners, ["doc_id"], "inner", rows=300_000).select("sig", "text").mapInArrow(whole, "sig binary, n long, grams binary")
+    if not names.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").isEmpty():
+        full = full.dropDuplicates(["sig"])  # a doc_id of several rows brings their texts several times
     blocked = cut(_blocked(full, "grams"), "whole")
     members = cut(_with_counts(blocked, _classes(rule), "sig binary, cls binary, own long, grams binary, counts binary"), "members")
+    del full
+    discard(blocked, living)
 
     # Steps 4 and 5, between the classes.
     heads_of = members.groupBy("cls").agg(F.min("own").alias("own"))
@@ -397,7 +405,7 @@ def join(docs: DataFrame, k: int = 5, p: int = 4, q: int = 5) -> DataFrame:
     smallest = named.groupBy("root").agg(F.min("least").alias("component"))
     named = named.join(smallest, "root").select("sig", "component")
     final = distinct.join(named, "sig", "left").select("sig", "least", F.coalesce("component", "least").alias("component"))
-    out = rows.select("doc_id", "n", "sig").join(final, "sig", "left")
+    out = names.join(final, "sig", "left")
     return out.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("sig").isNull(), F.col("doc_id")).otherwise(F.col("component")).alias("component_id"))
 
 
