@@ -43,7 +43,7 @@ SKETCH = 4
 #: Rows of a chunk of a column with more rows than that.
 CHUNK = 2048
 #: Shingles of one block of rows whose column counts are merged before they are sent.
-BLOCK_GRAMS = 1 << 20
+BLOCK_GRAMS = 1 << 19
 
 
 class Rule:

@@ -13,7 +13,7 @@ import numpy as np
 import pyarrow as pa
 
 #: Bytes of text that one kernel call takes at most, unless a single text is longer.
-SLICE_BYTES = 3 << 20
+SLICE_BYTES = 1 << 20
 
 _lower = np.arange(256, dtype=np.uint8)
 _lower[65:91] += 32
