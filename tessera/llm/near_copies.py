@@ -42,6 +42,8 @@ from tessera.llm.cluster import cut, discard, key_join, partitions, prepare
 SKETCH = 4
 #: Rows of a chunk of a column with more rows than that.
 CHUNK = 2048
+#: A posting brings the columns before its own, if not more: a pair is made only where its first common column is.
+BEFORE = 32
 #: Shingles of one block of rows whose column counts are merged before they are sent.
 BLOCK_GRAMS = 1 << 19
 
@@ -221,25 +223,26 @@ def _postings(classes: DataFrame, rule: Rule) -> DataFrame:
     """column, part, side, and the class's digest, size and sketch for each column that it must be met in."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = ["column", "part", "side", "cls", "size", "own", "sketch"]
-        types = [pa.int64(), pa.int64(), pa.int32(), pa.binary(), pa.int64(), pa.int64(), pa.binary()]
+        names = ["column", "part", "side", "cls", "size", "own", "sketch", "before"]
+        types = [pa.int64(), pa.int64(), pa.int32(), pa.binary(), pa.int64(), pa.int64(), pa.binary(), pa.list_(pa.int64())]
         out: list[tuple] = []
         for batch in batches:
             for cls, u, blob, counts in zip(batch.column("cls").to_pylist(), batch.column("own").to_pylist(), batch.column("grams").to_pylist(), batch.column("counts").to_pylist(), strict=True):
                 grams = _blob(blob)
                 bits = _sketch(grams).tobytes()
                 need = int(rule.miss(len(grams) + u)) - u + 1
-                for g, c in zip(grams[:need].view(np.int64).tolist(), _blob(counts)[:need].tolist(), strict=False):
+                keys = grams[:need].view(np.int64).tolist()
+                for i, (g, c) in enumerate(zip(keys, _blob(counts)[:need].tolist(), strict=False)):
                     chunks = -(-c // CHUNK)
                     mine = int.from_bytes(cls[:8], "little") % chunks
-                    out += [(g, min(mine, x) * chunks + max(mine, x), 0 if mine == x else 1 + (mine > x), cls, len(grams), u, bits) for x in range(chunks)]
+                    out += [(g, min(mine, x) * chunks + max(mine, x), 0 if mine == x else 1 + (mine > x), cls, len(grams), u, bits, keys[:i] if i <= BEFORE else None) for x in range(chunks)]
                 if len(out) > 50_000:
                     yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), types, strict=True)], names)
                     out = []
         if out:
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), types, strict=True)], names)
 
-    return classes.mapInArrow(run, "column long, part long, side int, cls binary, size long, own long, sketch binary")
+    return classes.mapInArrow(run, "column long, part long, side int, cls binary, size long, own long, sketch binary, before array<long>")
 
 
 def _block_pairs(who: np.ndarray, side: np.ndarray, size: np.ndarray, own: np.ndarray, bits: np.ndarray, rule: Rule) -> tuple[np.ndarray, np.ndarray]:
@@ -281,11 +284,14 @@ def _candidates(postings: DataFrame, rule: Rule) -> DataFrame:
             side, size, own = (t[c].to_numpy() for c in ("side", "size", "own"))
             bits = np.frombuffer(b"".join(t["sketch"].to_pylist()), np.uint64).reshape(-1, SKETCH)
             rank = np.unique(who.astype("S16"), return_inverse=True)[1] if len(who) else who
+            before = [frozenset(x or ()) for x in t["before"].to_pylist()]
             found: set[tuple[bytes, bytes]] = set()
             for a, b in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True):
                 if b - a > 1:
                     x, y = _block_pairs(rank[a:b], side[a:b], size[a:b], own[a:b], bits[a:b], rule)
-                    found.update((min(p, r), max(p, r)) for p, r in zip(who[a + x].tolist(), who[a + y].tolist(), strict=True) if p != r)
+                    for i, j in zip((a + x).tolist(), (a + y).tolist(), strict=True):
+                        if before[i].isdisjoint(before[j]) and who[i] != who[j]:
+                            found.add((min(who[i], who[j]), max(who[i], who[j])))
             if found:
                 yield pa.RecordBatch.from_arrays([pa.array([p for p, _ in found], pa.binary()), pa.array([r for _, r in found], pa.binary())], ["a", "b"])
 
