@@ -13,7 +13,7 @@ PREFIXES = ["tinh", "thanh pho", "tp", "xa", "phuong", "quan", "huyen", "thi xa"
 # Accented prefixes, of which one is removed.
 ACCENTED = ["tỉnh", "thành phố", "thị xã", "thị trấn", "quận", "huyện", "phường", "xã", "đặc khu"]
 
-WHITE = r"[\s ﻿ -     　]"
+WHITE = r"[\s\u00A0\uFEFF\u2000-\u200A\u2028\u2029\u202F\u205F\u3000]"
 
 
 def _folding() -> tuple[str, str]:
@@ -31,7 +31,7 @@ FOLD_FROM, FOLD_TO = _folding()
 
 
 def strip_diacritics(c: Column) -> Column:
-    return F.regexp_replace(F.translate(c, FOLD_FROM, FOLD_TO), r"[̀-ͯ]", "")
+    return F.regexp_replace(F.translate(c, FOLD_FROM, FOLD_TO), r"[\u0300-\u036F]", "")
 
 
 def normalize_search(c: Column) -> Column:
@@ -115,7 +115,7 @@ def ellipsis(c: Column) -> Column:
 
 
 def strip_bom(c: Column) -> Column:
-    return F.regexp_replace(c, "^﻿", "")
+    return F.regexp_replace(c, r"^\uFEFF", "")
 
 
 def camel_split(c: Column) -> Column:
