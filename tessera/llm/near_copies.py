@@ -42,6 +42,8 @@ from tessera.llm.cluster import cut, discard, key_join, partitions, prepare
 SKETCH = 4
 #: Rows of a chunk of a column with more rows than that.
 CHUNK = 2048
+#: A column with more rows than this brings the classes' shingles along: its links are decided in its block.
+HOT = 32
 #: A posting brings the columns before its own, if not more: a pair is made only where its first common column is.
 BEFORE = 32
 #: Shingles of one block of rows whose column counts are merged before they are sent.
@@ -223,26 +225,29 @@ def _postings(classes: DataFrame, rule: Rule) -> DataFrame:
     """column, part, side, and the class's digest, size and sketch for each column that it must be met in."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = ["column", "part", "side", "cls", "size", "own", "sketch", "before"]
-        types = [pa.int64(), pa.int64(), pa.int32(), pa.binary(), pa.int64(), pa.int64(), pa.binary(), pa.list_(pa.int64())]
+        names = ["column", "part", "side", "cls", "size", "own", "sketch", "before", "shared", "more"]
+        types = [pa.int64(), pa.int64(), pa.int32(), pa.binary(), pa.int64(), pa.int64(), pa.binary(), pa.list_(pa.int64()), pa.binary(), pa.bool_()]
         out: list[tuple] = []
+        held = 0
         for batch in batches:
-            for cls, u, blob, counts in zip(batch.column("cls").to_pylist(), batch.column("own").to_pylist(), batch.column("grams").to_pylist(), batch.column("counts").to_pylist(), strict=True):
+            for cls, u, blob, counts, more in zip(*(batch.column(c).to_pylist() for c in ("cls", "own", "grams", "counts", "more")), strict=True):
                 grams = _blob(blob)
+                whole = np.sort(grams).tobytes()
                 bits = _sketch(grams).tobytes()
                 need = int(rule.miss(len(grams) + u)) - u + 1
                 keys = grams[:need].view(np.int64).tolist()
                 for i, (g, c) in enumerate(zip(keys, _blob(counts)[:need].tolist(), strict=False)):
                     chunks = -(-c // CHUNK)
                     mine = int.from_bytes(cls[:8], "little") % chunks
-                    out += [(g, min(mine, x) * chunks + max(mine, x), 0 if mine == x else 1 + (mine > x), cls, len(grams), u, bits, keys[:i] if i <= BEFORE else None) for x in range(chunks)]
-                if len(out) > 50_000:
+                    out += [(g, min(mine, x) * chunks + max(mine, x), 0 if mine == x else 1 + (mine > x), cls, len(grams), u, bits, keys[:i] if i <= BEFORE else None, whole if c > HOT else None, more) for x in range(chunks)]
+                held += len(whole) * len(keys)
+                if len(out) > 50_000 or held > 8_000_000:
                     yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), types, strict=True)], names)
-                    out = []
+                    out, held = [], 0
         if out:
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), types, strict=True)], names)
 
-    return classes.mapInArrow(run, "column long, part long, side int, cls binary, size long, own long, sketch binary, before array<long>")
+    return classes.mapInArrow(run, "column long, part long, side int, cls binary, size long, own long, sketch binary, before array<long>, shared binary, more boolean")
 
 
 def _block_pairs(who: np.ndarray, side: np.ndarray, size: np.ndarray, own: np.ndarray, bits: np.ndarray, rule: Rule) -> tuple[np.ndarray, np.ndarray]:
@@ -270,7 +275,11 @@ def _block_pairs(who: np.ndarray, side: np.ndarray, size: np.ndarray, own: np.nd
 
 
 def _candidates(postings: DataFrame, rule: Rule) -> DataFrame:
-    """Distinct a, b of classes that meet in a block of a column and may link."""
+    """kind, a, b, most: what the blocks of the columns find.
+
+    kind 0: a and b meet in a block and may link. In blocks of hot columns overlaps are accumulated at once, and only
+    links that join two components of the block are given (kind 1, with `most`), so their number is that of the rows;
+    classes with several members also get their reach there (kind 2, in `most`)."""
     n = partitions(postings.sparkSession)
     dealt = postings.repartition(n, "column", "part").sortWithinPartitions("column", "part")
 
@@ -285,15 +294,44 @@ def _candidates(postings: DataFrame, rule: Rule) -> DataFrame:
             bits = np.frombuffer(b"".join(t["sketch"].to_pylist()), np.uint64).reshape(-1, SKETCH)
             rank = np.unique(who.astype("S16"), return_inverse=True)[1] if len(who) else who
             before = [frozenset(x or ()) for x in t["before"].to_pylist()]
-            found: set[tuple[bytes, bytes]] = set()
+            shared, more = t["shared"].to_pylist(), t["more"].to_pylist()
+            found: set[tuple] = set()
             for a, b in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True):
-                if b - a > 1:
-                    x, y = _block_pairs(rank[a:b], side[a:b], size[a:b], own[a:b], bits[a:b], rule)
-                    for i, j in zip((a + x).tolist(), (a + y).tolist(), strict=True):
-                        if before[i].isdisjoint(before[j]) and who[i] != who[j]:
-                            found.add((min(who[i], who[j]), max(who[i], who[j])))
+                if b - a < 2:
+                    continue
+                x, y = _block_pairs(rank[a:b], side[a:b], size[a:b], own[a:b], bits[a:b], rule)
+                root = list(range(b - a))
+                reach: dict[int, int] = {}
+
+                def top(i: int) -> int:
+                    while root[i] != i:
+                        root[i] = root[root[i]]
+                        i = root[i]
+                    return i
+
+                for i, j in zip(x.tolist(), y.tolist(), strict=True):
+                    p, r = a + i, a + j
+                    if who[p] == who[r] or not before[p].isdisjoint(before[r]):
+                        continue
+                    low, high = min(who[p], who[r]), max(who[p], who[r])
+                    if shared[p] is None or shared[r] is None:
+                        found.add((0, low, high, None))
+                        continue
+                    apart = top(i) != top(j)
+                    if not (apart or more[p] or more[r]):
+                        continue
+                    most = _most(_blob(shared[p]), _blob(shared[r]), rule)
+                    if most < own[p] + own[r]:
+                        continue
+                    if apart:
+                        root[top(i)] = top(j)
+                        found.add((1, low, high, most))
+                    for here, there in ((p, r), (r, p)):
+                        if more[here]:
+                            reach[here] = max(reach.get(here, -1), most - int(own[there]))
+                found.update((2, who[i], who[i], r) for i, r in reach.items())
             if found:
-                yield pa.RecordBatch.from_arrays([pa.array([p for p, _ in found], pa.binary()), pa.array([r for _, r in found], pa.binary())], ["a", "b"])
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*found, strict=True), [pa.int32(), pa.binary(), pa.binary(), pa.int64()], strict=True)], ["kind", "a", "b", "most"])
 
         for batch in batches:
             t = pa.Table.from_batches([batch])
@@ -306,12 +344,20 @@ def _candidates(postings: DataFrame, rule: Rule) -> DataFrame:
         if held is not None and held.num_rows:
             yield from pairs(held.combine_chunks())
 
-    return dealt.mapInArrow(run, "a binary, b binary").distinct()
+    return dealt.mapInArrow(run, "kind int, a binary, b binary, most long").distinct()
+
+
+def _most(x: np.ndarray, y: np.ndarray, rule: Rule) -> int:
+    """Largest sum of `own` with which rows of these shared shingles link, from their accumulated overlap."""
+    if not len(x) or not len(y):
+        return -1
+    at = np.searchsorted(x, y)
+    at[at == len(x)] = 0
+    return ((rule.q + rule.p) * int((x[at] == y).sum()) - rule.p * (len(x) + len(y))) // rule.p
 
 
 def _links(pairs: DataFrame, classes: DataFrame, rule: Rule) -> DataFrame:
     """a, b, most: linked classes, and the largest sum of the two `own` with which members of theirs link."""
-    p, q = rule.p, rule.q
     rows = classes.select("cls", "own", "grams")
     left = rows.select(F.col("cls").alias("a"), F.col("own").alias("own_a"), F.col("grams").alias("grams_a"))
     right = rows.select(F.col("cls").alias("b"), F.col("own").alias("own_b"), F.col("grams").alias("grams_b"))
@@ -320,11 +366,7 @@ def _links(pairs: DataFrame, classes: DataFrame, rule: Rule) -> DataFrame:
         for batch in batches:
             most, keep = [], []
             for own_a, x, own_b, y in zip(*(batch.column(c).to_pylist() for c in ("own_a", "grams_a", "own_b", "grams_b")), strict=True):
-                x, y = np.sort(_blob(x)), np.sort(_blob(y))
-                at = np.searchsorted(x, y)
-                at[at == len(x)] = 0
-                overlap = int((x[at] == y).sum()) if len(x) else 0
-                most.append(((q + p) * overlap - p * (len(x) + len(y))) // p)
+                most.append(_most(np.sort(_blob(x)), np.sort(_blob(y)), rule))
                 keep.append(most[-1] >= own_a + own_b)
             yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b"), pa.array(most, pa.int64())], ["a", "b", "most"]).filter(pa.array(keep, pa.bool_()))
 
@@ -395,14 +437,17 @@ def join(docs: DataFrame, k: int = 5, p: int = 4, q: int = 5) -> DataFrame:
     discard(blocked, living)
 
     # Steps 4 and 5, between the classes.
-    heads_of = members.groupBy("cls").agg(F.min("own").alias("own"))
-    classes = cut(members.select("sig", "cls", "own", "grams", "counts").join(heads_of, ["cls", "own"], "left_semi").dropDuplicates(["cls"]), "classes")
-    links = cut(_links(cut(_candidates(_postings(classes, rule), rule), "pairs"), classes, rule), "links")
+    heads_of = members.groupBy("cls").agg(F.min("own").alias("own"), (F.count("*") > 1).alias("more"))
+    classes = cut(members.select("sig", "cls", "own", "grams", "counts").join(heads_of, ["cls", "own"]).dropDuplicates(["cls"]), "classes")
+    met = cut(_candidates(_postings(classes, rule), rule), "pairs")
+    decided = met.where("kind = 1").select("a", "b", "most")
+    links = cut(_links(met.where("kind = 0").select("a", "b"), classes, rule).unionByName(decided), "links")
 
     # A member belongs to its class's component if its own count is within the reach of some link.
     reach = links.select(F.col("a").alias("cls"), F.col("b").alias("other"), "most").unionByName(links.select(F.col("b").alias("cls"), F.col("a").alias("other"), "most"))
     owns = classes.select(F.col("cls").alias("other"), F.col("own").alias("own_other"))
-    reach = reach.join(owns, "other").groupBy("cls").agg(F.max(F.col("most") - F.col("own_other")).alias("reach"))
+    reach = reach.join(owns, "other").select("cls", (F.col("most") - F.col("own_other")).alias("reach"))
+    reach = reach.unionByName(met.where("kind = 2").select(F.col("a").alias("cls"), F.col("most").alias("reach"))).groupBy("cls").agg(F.max("reach").alias("reach"))
     inner = classes.select("cls", F.col("sig").alias("head_sig"), (F.expr(f"(length(grams) div 8 * {q - p}) div {p}") - F.col("own")).alias("inner"))
     roots = components(links).withColumnsRenamed({"node": "cls"})
     joined = members.select("sig", "cls", "own").join(inner, "cls").join(reach, "cls", "left").join(roots, "cls", "left")
