@@ -27,7 +27,8 @@ RAW = frozenset("script style textarea title xmp iframe noembed noframes".split(
 NEVER = frozenset("script style textarea title xmp iframe noembed noframes noscript template head nav aside footer form button select option input svg math canvas object audio video dialog menu".split())
 INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr".split())
 SCOPE = frozenset("html body article main section div td th table ul ol dl blockquote li".split())
-CLOSED_BY_BLOCK = frozenset(["p"])
+#: Elements that may stand inside a paragraph without ending it.
+WITHIN = INLINE | (VOID - {"hr"}) | frozenset("script style template noscript button select option textarea title iframe object audio video canvas svg math".split())
 CLOSES_ITSELF = {"li": "li", "dt": "dt dd", "dd": "dt dd", "tr": "tr td th", "td": "td th", "th": "td th", "option": "option"}
 MARKS = frozenset(
     "nav navbar navigation menu breadcrumb breadcrumbs header masthead footer sidebar aside notice notices cookie cookies consent gdpr banner alert popup modal overlay ad ads adv advert adverts advertisement "
@@ -96,7 +97,7 @@ def parse(page: str) -> Node:
             continue
         if tag in ("html", "body"):
             continue
-        if tag not in INLINE and tag not in VOID or tag == "hr":
+        if tag not in WITHIN:
             node = at
             while node.parent is not None and node.tag not in SCOPE and node.tag != "p":
                 node = node.parent
