@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from tessera.llm import textblocks as tb
-from tessera.llm.cluster import prepare
+from tessera.llm.cluster import prepare, tidied
 
 WINDOW = 10
 #: Words of one broadcast shard of the test set.
@@ -209,6 +209,7 @@ def report(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataF
     prepare(docs.sparkSession)
     tests = _shards(benchmark, window)
 
+    @tidied
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shards = [t.value for t in tests]
         for batch in batches:
@@ -228,6 +229,7 @@ def clean(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFr
     tests = _shards(benchmark, window)
     where = docs.columns.index("text")
 
+    @tidied
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shards = [t.value for t in tests]
         for batch in batches:
@@ -243,6 +245,7 @@ def longest_matches(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW)
     prepare(docs.sparkSession)
     tests = _shards(benchmark, window)
 
+    @tidied
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for block in tb.blocks(batch.column("text")):

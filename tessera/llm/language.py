@@ -25,7 +25,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tessera.llm import textblocks as tb
-from tessera.llm.cluster import prepare
+from tessera.llm.cluster import prepare, tidied
 
 UNKNOWN = "und"
 WINDOW = 256
@@ -144,6 +144,7 @@ def fit(docs: DataFrame) -> Network | None:
         share = F.when(F.col("lang") == lang, min(1.0, (2 * PER_LANGUAGE + 100) / n)).otherwise(share)
     sample = labelled.where(F.pmod(key, F.lit(1 << 20)) < share * (1 << 20)).select(key.alias("key"), "lang", "text")
 
+    @tidied
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for block in tb.blocks(batch.column("text")):
@@ -201,6 +202,7 @@ def predict(docs: DataFrame, net: Network | None) -> DataFrame:
     prepare(docs.sparkSession)
     source = docs.select("doc_id", held_out().alias("held_out"), "text")
 
+    @tidied
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for block, langs, scores in _label(batch.column("text"), net):
@@ -215,6 +217,7 @@ def keep(docs: DataFrame, net: Network | None) -> DataFrame:
     prepare(docs.sparkSession)
     where = docs.columns.index("text")
 
+    @tidied
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             good = [x != UNKNOWN for _, langs, _ in _label(batch.column(where), net) for x in langs]

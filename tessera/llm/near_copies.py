@@ -36,7 +36,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessera.llm import textblocks as tb
-from tessera.llm.cluster import cut, discard, key_join, partitions, prepare
+from tessera.llm.cluster import cut, discard, key_join, partitions, prepare, tidied, trim
 
 #: Bits of a parity sketch, in 64-bit words.
 SKETCH = 4
@@ -93,6 +93,7 @@ def _sets(column: pa.Array, k: int) -> Iterator[tuple[tb.Block, list[np.ndarray]
 def _rows(docs: DataFrame, rule: Rule) -> DataFrame:
     """doc_id, row (a number of its own), n, sig (null without words), head: the first shingles in hash order."""
 
+    @tidied
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         row = TaskContext.get().partitionId() << 40
         for batch in batches:
@@ -112,6 +113,7 @@ def _columns(rows: DataFrame, grams: str) -> DataFrame:
     """block, bucket, count of rows and the distinct shingles of each block of rows, cut by bucket of columns."""
     buckets = 4 * partitions(rows.sparkSession)
 
+    @tidied
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for number, blobs in zip(batch.column("block").to_pylist(), batch.column(grams).to_pylist(), strict=True):
@@ -131,6 +133,7 @@ def _merged(sent: DataFrame) -> DataFrame:
     """block, columns, counts: of each block's columns those with two rows or more in all blocks."""
 
     def run(table: pa.Table) -> pa.Table:
+        trim()
         parts = [_blob(x) for x in table["columns"].to_pylist()]
         counts = [np.frombuffer(x, np.uint32).astype(np.int64) for x in table["counts"].to_pylist()]
         values, which = np.unique(np.concatenate(parts), return_inverse=True)
@@ -149,6 +152,7 @@ def _merged(sent: DataFrame) -> DataFrame:
 def _blocked(rows: DataFrame, grams: str) -> DataFrame:
     """Rows gathered to blocks of bounded size: block, sigs, ns, and their shingles."""
 
+    @tidied
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         number = TaskContext.get().partitionId() << 32
         sigs, ns, blobs, size = [], [], [], 0
@@ -179,6 +183,7 @@ def _with_counts(blocked: DataFrame, step, schema: str) -> DataFrame:
     merged = _merged(_columns(blocked.select("block", "grams"), "grams"))
 
     def run(rows: pa.Table, replies: pa.Table) -> pa.Table:
+        trim()
         shared = np.concatenate([np.empty(0, np.uint64), *[_blob(x) for x in replies["columns"].to_pylist()]])
         counts = np.concatenate([np.empty(0, np.uint64), *[_blob(x) for x in replies["counts"].to_pylist()]])
         order = np.argsort(shared)
@@ -224,6 +229,7 @@ def _sketch(grams: np.ndarray) -> np.ndarray:
 def _postings(classes: DataFrame, rule: Rule) -> DataFrame:
     """column, part, side, and the class's digest, size and sketch for each column that it must be met in."""
 
+    @tidied
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = ["column", "part", "side", "cls", "size", "own", "sketch", "before", "shared", "more"]
         types = [pa.int64(), pa.int64(), pa.int32(), pa.binary(), pa.int64(), pa.int64(), pa.binary(), pa.list_(pa.int64()), pa.binary(), pa.bool_()]
@@ -283,6 +289,7 @@ def _candidates(postings: DataFrame, rule: Rule) -> DataFrame:
     n = partitions(postings.sparkSession)
     dealt = postings.repartition(n, "column", "part").sortWithinPartitions("column", "part")
 
+    @tidied
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: pa.Table | None = None
 
@@ -362,6 +369,7 @@ def _links(pairs: DataFrame, classes: DataFrame, rule: Rule) -> DataFrame:
     left = rows.select(F.col("cls").alias("a"), F.col("own").alias("own_a"), F.col("grams").alias("grams_a"))
     right = rows.select(F.col("cls").alias("b"), F.col("own").alias("own_b"), F.col("grams").alias("grams_b"))
 
+    @tidied
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             most, keep = [], []

@@ -27,7 +27,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 
 from tessera.llm import tokens
-from tessera.llm.cluster import prepare
+from tessera.llm.cluster import prepare, tidied
 
 MAX_TOKENS = 1024
 #: Remainders that are placed together.
@@ -137,6 +137,7 @@ def pack(docs: DataFrame, name: str = tokens.BPE, limits: Limits | None = None,
     source = docs.select("doc_id", "text")
     kind = source.schema["doc_id"].dataType.simpleString()
 
+    @tidied
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[int, tuple[object, np.ndarray, int]] = {}  # of each waiting document: its id, its last ids, where they begin
         sizes: dict[int, int] = {}
