@@ -7,7 +7,7 @@ level; a container's points are discounted by its link density. The best contain
 that score enough or read like text. A container inside an <article> or <main> stands for that element.
 
 Defined cases: null or empty html gives the empty text. Repeated rows are extracted each. Pages without any markup
-are one block. Only page_id, url and html of the input are read.
+are one block. Elements may nest to any depth. Only page_id, url and html of the input are read.
 """
 
 from __future__ import annotations
@@ -40,6 +40,7 @@ ROLES = frozenset("navigation banner contentinfo complementary search alert aler
 _TAG = re.compile(r"""<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^"'>]|"[^"]*"|'[^']*')*)(?:>|\Z)""", re.S)
 _ATTRIBUTE = re.compile(r"""([^\s=/"'>]+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""")
 _WORD = re.compile(r"[a-z]+|[0-9]+")
+_RAW_END = {tag: re.compile(rf"</{tag}(?=[\s/>]|\Z)", re.I | re.A) for tag in RAW}
 
 
 class Node:
@@ -75,7 +76,7 @@ def _unwanted(tag: str, attributes: str, parent: Node) -> bool:
 
 def parse(page: str) -> Node:
     root = at = Node("html", None)
-    lower, position, n = None, 0, len(page)
+    position, n = 0, len(page)
     while position < n:
         m = _TAG.search(page, position)
         if m is None:
@@ -112,10 +113,8 @@ def parse(page: str) -> Node:
         node = Node(tag, at, _unwanted(tag, m[3], at))
         at.children.append(node)
         if tag in RAW:
-            if lower is None:
-                lower = page.lower() if len(page.lower()) == n else page
-            end = lower.find(f"</{tag}", position)
-            end = n if end < 0 else end
+            m = _RAW_END[tag].search(page, position)
+            end = m.start() if m else n
             close = page.find(">", end)
             position = n if close < 0 else close + 1
         elif tag not in VOID and not m[3].endswith("/"):
@@ -149,7 +148,15 @@ def _measure(node: Node, in_link: bool, found: list[Node]) -> None:
 
 
 def _commas(node: Node) -> int:
-    return sum(c.count(",") if isinstance(c, str) else _commas(c) if c.tag in INLINE and not c.dropped else 0 for c in node.children)
+    """Commas of a paragraph's own text and of the inline elements in it, however deep they nest."""
+    n, stack = 0, [node]
+    while stack:
+        for c in stack.pop().children:
+            if isinstance(c, str):
+                n += c.count(",")
+            elif c.tag in INLINE and not c.dropped:
+                stack.append(c)
+    return n
 
 
 def choose(root: Node) -> list[Node]:
@@ -161,7 +168,7 @@ def choose(root: Node) -> list[Node]:
     scored: dict[int, Node] = {}
     for p in found:
         points = (1 + _commas(p) + min(p.size / 100, 30)) * (1 - p.links / max(p.size, 1))
-        level, node = 1, p.parent
+        level, node = 1.0, p.parent  # a float: deep levels fade to nothing
         if node is None:
             return [root]
         while node is not None:
