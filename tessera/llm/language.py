@@ -6,7 +6,7 @@ A document's distribution is the mean over all its windows, weighed by their byt
 the filters are folded into one table a filter position, so a response is a sum of four table rows.
 
 Training takes a bounded sample: at most PER_LANGUAGE labelled documents of each language, those of least hash of
-doc_id, and at most WINDOWS_EACH windows of each. Documents whose crc32(doc_id as text) mod 5 is 0 are held out. Only
+doc_id and text, and at most WINDOWS_EACH windows of each; rows that repeat count once. Documents whose crc32(doc_id as text) mod 5 is 0 are held out. Only
 text and lang are learned from; lang, source and doc_id are never inputs of a prediction.
 
 Defined cases: text that is null or holds no letter gets `und` and score 0, as all texts do if nothing is labelled.
@@ -133,14 +133,14 @@ def train(x: np.ndarray, y: np.ndarray, languages: list[str]) -> Network:
 def fit(docs: DataFrame) -> Network | None:
     """A network from the labelled rows of docs that are not held out; None without any."""
     prepare(docs.sparkSession)
-    key = F.xxhash64("doc_id")
+    key = F.xxhash64("doc_id", "text")
     labelled = docs.where(~held_out() & F.col("lang").isNotNull()).where(F.col("text").isNotNull())
-    counts = {r[0]: r[1] for r in labelled.groupBy("lang").count().collect()}
+    counts = {r[0]: r[1] for r in labelled.groupBy("lang").agg(F.approx_count_distinct(key)).collect()}
     if not counts:
         return None
     # A share of each language's hashes that holds its sample with room to spare.
     share = F.lit(0.0)
-    for lang, n in counts.items():
+    for lang, n in sorted(counts.items()):
         share = F.when(F.col("lang") == lang, min(1.0, (2 * PER_LANGUAGE + 100) / n)).otherwise(share)
     sample = labelled.where(F.pmod(key, F.lit(1 << 20)) < share * (1 << 20)).select(key.alias("key"), "lang", "text")
 
@@ -161,7 +161,8 @@ def fit(docs: DataFrame) -> Network | None:
                     n = len(picks)
                     yield pa.RecordBatch.from_arrays([pa.array([int(keys[i])] * n), pa.array([langs[i]] * n), pa.array([x[first[i] + j].tobytes() for j in picks], pa.binary())], ["key", "lang", "window"])
 
-    rows = sorted(tuple(r) for r in sample.mapInArrow(run, "key long, lang string, window binary").collect())
+    # A hash has at most WINDOWS_EACH windows of a language, so what is collected is bounded by the share of hashes.
+    rows = sorted(tuple(r) for r in sample.mapInArrow(run, "key long, lang string, window binary").distinct().collect())
     kept, seen = [], {}
     for key_, lang, window in rows:
         own = seen.setdefault(lang, set())
