@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from tessera.llm import chat, decontaminate, html_text, language, licenses, near_copies, neighbours, packing, token_counts, warc
 from tessera.llm.cluster import table
+from tessera.llm.oracles import ORACLE_SQL  # noqa: F401
 
 
 def op1_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -31,7 +32,7 @@ def op5_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     own = r"\### Assistant: </turn> ok"
     rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     added = spark.createDataFrame([(-7, 0, "user", own), (-7, 1, "assistant", own)], "conv_id long, turn long, role string, text string")
-    return chat.read_back(chat.assemble(rows.unionByName(added)))
+    return chat.read_back(chat.assemble(rows.unionByName(added))).drop("n_tokens")
 
 
 def op6_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -59,5 +60,3 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (op1_ngram_jaccard, op2_packing, op3_token_counts, op4_nearest_neighbours, op5_chat_format, op6_license_scan, op7_warc, op8_html_text, op9_language_id, op10_decontaminate)
 }
-
-ORACLE_SQL: dict[str, str] = {}

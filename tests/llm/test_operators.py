@@ -4,10 +4,11 @@ import hashlib
 import re
 import zlib
 
+import duckdb
 import pytest
 from pyspark.sql import functions as F
 
-from tessera.llm import chat, decontaminate, html_text, language, licenses, near_copies, neighbours, packing, token_counts, tokens, warc
+from tessera.llm import chat, decontaminate, html_text, language, licenses, near_copies, neighbours, packing, queries, token_counts, tokens, warc
 from tessera.llm.cluster import new_folder, table
 
 DATA = "/root/testdata/sf0.001"
@@ -21,6 +22,17 @@ def docs(spark):
     return own.unionByName(odd).repartition(5).cache()
 
 
+@pytest.mark.parametrize("name", sorted(queries.ORACLE_SQL))
+def test_query_equals_its_sql(spark, name):
+    con = duckdb.connect()
+    for t in ("documents", "conversations", "pages", "benchmark"):
+        con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{DATA}/{t}.parquet'")
+    df = queries.QUERIES[name](spark, DATA)
+    columns = sorted(df.columns)
+    want = con.execute(f"SELECT {','.join(columns)} FROM ({queries.ORACLE_SQL[name]})").fetchall()
+    assert sorted((tuple(r) for r in df.select(*columns).collect()), key=str) == sorted(want, key=str)
+
+
 def lowered(text):
     return re.sub("[A-Z]+", lambda m: m[0].lower(), text or "")
 
@@ -192,6 +204,21 @@ def test_main_text(page, want):
     assert html_text.main_text(page) == want
 
 
+def test_deep_and_unclosed_pages():
+    deep = "<p>" + "<b><i>" * 5000 + "Deep, text." + "</i></b>" * 5000 + "</p>"
+    assert html_text.main_text(deep) == "Deep, text."
+    assert html_text.main_text("<div>" * 5000 + "<p>Deep, text.</p>") == "Deep, text."
+    assert html_text.main_text("<SCRIPT>var s = '</scripts>'</SCRIPT ><p>\u0130 one, two.</p><script>open") == "\u0130 one, two."
+
+
+def test_sample_is_bounded_for_repeated_rows(spark):
+    rows = spark.range(4000).select(F.lit(3).cast("long").alias("doc_id"), F.lit("one and the same words").alias("text"), F.lit("a").alias("lang"))
+    other = spark.createDataFrame([(4, "zwei andere Dinge", "b"), (None, "und ohne Nummer", "b")], "doc_id long, text string, lang string")
+    net = language.fit(rows.unionByName(other))
+    assert net.languages == ["a", "b"]
+    assert language.predict(rows, net).groupBy("lang_pred").count().collect()[0]["count"] == 4000
+
+
 def test_language(docs):
     net = language.fit(docs)
     got = language.predict(docs, net).collect()
