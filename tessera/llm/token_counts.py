@@ -58,6 +58,7 @@ def count_tokens(docs: DataFrame, cache: str | None = None, name: str = tokens.B
     encoded = encode_counts(misses.dropDuplicates(["digest"]), name)
     encoded.select("digest", F.lit(version).alias("version"), "n_tokens").write.mode("append").parquet(cache)
     counts = spark.read.schema(CACHE).parquet(cache).where(F.col("version") == version).groupBy("digest").agg(F.max("n_tokens").alias("n_tokens"))
+    # Both sides of the join are tables, and nothing stands between their shuffles and the join: AQE splits a hot digest.
+    counts = cut(counts, "token-counts")
     sizes = cut(keyed.select("doc_id", "digest", F.octet_length("raw").cast("long").alias("n_bytes")), "token-digests")
-    # Copies share a digest, so each digest is dealt out once and its rows are spread by AQE's skew join.
     return sizes.join(counts, "digest").select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > limit).alias("over_limit"))
