@@ -463,7 +463,8 @@ def join(docs: DataFrame, k: int = 5, p: int = 4, q: int = 5) -> DataFrame:
     named = joined.join(distinct.select("sig", "least"), "sig")
     smallest = named.groupBy("root").agg(F.min("least").alias("component"))
     named = named.join(smallest, "root").select("sig", "component")
-    final = distinct.join(named, "sig", "left").select("sig", "least", F.coalesce("component", "least").alias("component"))
+    # A table of its own: AQE splits a hot sig only where nothing stands between the shuffles and the join.
+    final = cut(distinct.join(named, "sig", "left").select("sig", F.coalesce("component", "least").alias("component")), "named")
     out = names.join(final, "sig", "left")
     return out.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("sig").isNull(), F.col("doc_id")).otherwise(F.col("component")).alias("component_id"))
 
