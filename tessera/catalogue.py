@@ -344,3 +344,25 @@ def collect_group_sort(spark, sf_dir):
 def fallback_coalesce(spark, sf_dir):
     k = F.col("c_custkey")
     return rows(spark, sf_dir, "customer").select("c_custkey", text.first_non_blank(F.when(k % 3 == 0, "a").otherwise(" "), F.when(k % 5 == 0, "b"), F.col("c_mktsegment")).alias("picked"))
+
+
+@query(f"SELECT confidence,conflict,count(*) AS n FROM ({ORACLE_SQL['resolve_confidence']}) GROUP BY confidence,conflict")
+def provider_conflict(spark, sf_dir):
+    return resolve_confidence(spark, sf_dir).groupBy("confidence", "conflict").agg(F.count("*").alias("n"))
+
+
+_DOCUMENTS = [
+    '\ufeff{"administrative_code":{"value":1},"location":{"latitude":{"value":"21,02"}},"population":{"total":{"value":8435700}},"infrastructure":{"seaport":{"value":["a","b"]},"airport":{"value":["c"]}}}',
+    "{bad",
+    '{"administrative_code":{"value":"48"},"infrastructure":{"seaport":{"value":"none"}}}',
+    '{"population":{"total":{"value":"n/a"}},"location":{"latitude":{"value":10.5}}}',
+]
+_PROFILES = [(True, "1", 21.02, 8435700.0, 3), (False, None, None, None, 0), (True, "48", None, None, 0), (True, None, 10.5, None, 0)]
+
+
+@query(f"WITH {values('a', 'i,has_profile,administrative_code,latitude,population,n_infrastructure', [(i, *e) for i, e in enumerate(_PROFILES)])} SELECT c_custkey,has_profile,administrative_code,latitude,population,n_infrastructure FROM customer JOIN a ON a.i=c_custkey%{len(_DOCUMENTS)}")
+def json_profile_fields(spark, sf_dir):
+    raw = F.get(F.array(*[F.lit(d) for d in _DOCUMENTS]), (F.col("c_custkey") % len(_DOCUMENTS)).cast("int"))
+    name = F.col("c_custkey").cast("string")
+    docs = rows(spark, sf_dir, "customer").select(name.alias("file_name"), name.alias("name_key"), F.try_parse_json(text.strip_bom(raw)).alias("doc"))
+    return profile.profile(docs).select(F.col("file_name").cast("long").alias("c_custkey"), "has_profile", "administrative_code", "latitude", "population", F.size("infrastructure").alias("n_infrastructure"))
