@@ -60,23 +60,23 @@ def commune_ladder(rows: DataFrame, key: str, province: str, name: str) -> DataF
     spark = rows.sparkSession
     c = seeds.communes(spark)
     by_alias = c.select("commune_code", F.explode(F.concat(F.array("commune_name"), "aliases")).alias("alias")).groupBy("commune_code").agg(F.collect_set(normalize_admin_name(F.col("alias"))).alias("alias_norms"))
-    c = c.join(F.broadcast(by_alias), "commune_code").select("ord", "commune_code", F.col("province_code").alias("_p"), normalize_admin_name(F.col("commune_name")).alias("norm"), "alias_norms")
+    c = c.join(F.broadcast(by_alias), "commune_code").select(F.col("ord").alias("_ord"), F.col("commune_code").alias("_code"), F.col("province_code").alias("_p"), normalize_admin_name(F.col("commune_name")).alias("_norm"), F.col("alias_norms").alias("_aliases"))
     ask = rows.withColumn("_n", normalize_admin_name(F.col(name)))
     hit = ask.join(F.broadcast(c), F.col(province) == F.col("_p"), "left")
-    tier = F.when(F.col("_p").isNull() | (F.col("_n") == ""), None).when(F.col("norm") == F.col("_n"), 1).when(F.array_contains("alias_norms", F.col("_n")), 2).when(F.contains(F.col("norm"), F.col("_n")) | F.contains(F.col("_n"), F.col("norm")), 3)
-    hit = hit.withColumn("t", tier)
+    tier = F.when(F.col("_p").isNull() | (F.col("_n") == ""), None).when(F.col("_norm") == F.col("_n"), 1).when(F.array_contains("_aliases", F.col("_n")), 2).when(F.contains(F.col("_norm"), F.col("_n")) | F.contains(F.col("_n"), F.col("_norm")), 3)
+    hit = hit.withColumn("_t", tier)
     grouped = hit.groupBy(*rows.columns).agg(
-        F.min("t").alias("t"),
-        F.count("_p").alias("n"),
-        F.array_sort(F.collect_list(F.when(F.col("_p").isNotNull(), F.struct("ord", "commune_code", "t")))).alias("all"),
+        F.min("_t").alias("_least"),
+        F.count("_p").alias("_count"),
+        F.array_sort(F.collect_list(F.when(F.col("_p").isNotNull(), F.struct("_ord", "_code", "_t")))).alias("_all"),
     )
-    best = F.filter("all", lambda x: x["t"] == F.col("t"))
-    codes = lambda a: F.transform(a, lambda x: x["commune_code"])
+    best = F.filter("_all", lambda x: x["_t"] == F.col("_least"))
+    codes = lambda a: F.transform(a, lambda x: x["_code"])
     return grouped.select(
         *rows.columns,
-        F.when(F.col(province).isNull(), "skipped").when(F.col("n") == 0, "no_candidates").when(F.col("t") == 1, "exact").when(F.col("t") == 2, "alias").when(F.col("t") == 3, "fuzzy").otherwise("none").alias("tier"),
-        F.when(F.col("t").isNotNull() & (F.size(best) == 1), F.element_at(codes(best), 1)).alias("matched"),
-        F.when(F.col("t").isNull(), F.slice(codes(F.col("all")), 1, 3)).when(F.size(best) > 1, codes(best)).otherwise(F.array().cast("array<string>")).alias("alternatives"),
+        F.when(F.col(province).isNull(), "skipped").when(F.col("_count") == 0, "no_candidates").when(F.col("_least") == 1, "exact").when(F.col("_least") == 2, "alias").when(F.col("_least") == 3, "fuzzy").otherwise("none").alias("tier"),
+        F.when(F.col("_least").isNotNull() & (F.size(best) == 1), F.element_at(codes(best), 1)).alias("matched"),
+        F.when(F.col("_least").isNull(), F.slice(codes(F.col("_all")), 1, 3)).when(F.size(best) > 1, codes(best)).otherwise(F.array().cast("array<string>")).alias("alternatives"),
     )
 
 
