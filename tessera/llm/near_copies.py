@@ -18,10 +18,12 @@ overlaps of all pairs; only entries that can reach the threshold are worked out:
 
 Members of a class link to the class representative or to a linked one exactly if their `own` is at most the class's
 reach, the largest sum that its links leave; components follow by alternating star steps over the class links. No
-pairs within a class are made, and nothing grows with the square of a group of copies.
+pairs within a class are made, and no rows grow with the square of a group of copies. Every link is decided, but links
+of hot columns that join nothing new are not rows: `link_counts` adds them up in their block, once, for each `own` of
+either class, and gives every document the number of other distinct sets that its set links to.
 
 Defined cases: null or empty text, or text without words, has n_shingles 0 and is linked with nothing, so its
-component is its own doc_id. A text of fewer than k words is one shingle. Repeated rows and ties link like any copies.
+component is its own doc_id and it has no links. Copies of one set are no links. A text of fewer than k words is one shingle. Repeated rows and ties link like any copies.
 A row without doc_id gets its group's smallest doc_id, or null. Only doc_id and text of the input are read.
 """
 
@@ -227,33 +229,35 @@ def _sketch(grams: np.ndarray) -> np.ndarray:
 
 
 def _postings(classes: DataFrame, rule: Rule) -> DataFrame:
-    """column, part, side, and the class's digest, size and sketch for each column that it must be met in."""
+    """column, part, side, and the class's digest, size and sketch for each column that it must be met in.
+
+    Postings of hot columns bring the class's shingles in order of count, the column's place in them, and the numbers
+    of members by `own`."""
 
     @tidied
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = ["column", "part", "side", "cls", "size", "own", "sketch", "before", "shared", "more"]
-        types = [pa.int64(), pa.int64(), pa.int32(), pa.binary(), pa.int64(), pa.int64(), pa.binary(), pa.list_(pa.int64()), pa.binary(), pa.bool_()]
+        names = ["column", "part", "side", "cls", "size", "own", "sketch", "before", "place", "shared", "more", "owns", "nums"]
+        types = [pa.int64(), pa.int64(), pa.int32(), pa.binary(), pa.int64(), pa.int64(), pa.binary(), pa.list_(pa.int64()), pa.int64(), pa.binary(), pa.bool_(), pa.list_(pa.int64()), pa.list_(pa.int64())]
         out: list[tuple] = []
         held = 0
         for batch in batches:
-            for cls, u, blob, counts, more in zip(*(batch.column(c).to_pylist() for c in ("cls", "own", "grams", "counts", "more")), strict=True):
+            for cls, u, blob, counts, more, owns, nums in zip(*(batch.column(c).to_pylist() for c in ("cls", "own", "grams", "counts", "more", "owns", "nums")), strict=True):
                 grams = _blob(blob)
-                whole = np.sort(grams).tobytes()
                 bits = _sketch(grams).tobytes()
                 need = int(rule.miss(len(grams) + u)) - u + 1
                 keys = grams[:need].view(np.int64).tolist()
                 for i, (g, c) in enumerate(zip(keys, _blob(counts)[:need].tolist(), strict=False)):
                     chunks = -(-c // CHUNK)
                     mine = int.from_bytes(cls[:8], "little") % chunks
-                    out += [(g, min(mine, x) * chunks + max(mine, x), 0 if mine == x else 1 + (mine > x), cls, len(grams), u, bits, keys[:i] if i <= BEFORE else None, whole if c > HOT else None, more) for x in range(chunks)]
-                held += len(whole) * len(keys)
+                    out += [(g, min(mine, x) * chunks + max(mine, x), 0 if mine == x else 1 + (mine > x), cls, len(grams), u, bits, keys[:i] if c <= HOT and i <= BEFORE else None, i, *((blob, more, owns, nums) if c > HOT else (None, more, None, None))) for x in range(chunks)]
+                held += len(blob) * len(keys)
                 if len(out) > 50_000 or held > 8_000_000:
                     yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), types, strict=True)], names)
                     out, held = [], 0
         if out:
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), types, strict=True)], names)
 
-    return classes.mapInArrow(run, "column long, part long, side int, cls binary, size long, own long, sketch binary, before array<long>, shared binary, more boolean")
+    return classes.mapInArrow(run, "column long, part long, side int, cls binary, size long, own long, sketch binary, before array<long>, place long, shared binary, more boolean, owns array<long>, nums array<long>")
 
 
 def _block_pairs(who: np.ndarray, side: np.ndarray, size: np.ndarray, own: np.ndarray, bits: np.ndarray, rule: Rule) -> tuple[np.ndarray, np.ndarray]:
@@ -280,12 +284,85 @@ def _block_pairs(who: np.ndarray, side: np.ndarray, size: np.ndarray, own: np.nd
     return order[np.concatenate(left)], order[np.concatenate(right)]
 
 
+def _overlaps(sets: list[np.ndarray], x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Number of common values of sets x[i] and y[i]; equal x stand together. Accumulated over columns, by their rows."""
+    out = np.zeros(len(x), np.int64)
+    m, total = len(sets), sum(len(v) for v in sets)
+    first = np.flatnonzero(np.concatenate(([True], x[1:] != x[:-1]))) if len(x) else np.empty(0, np.int64)
+    runs = list(zip(first.tolist(), [*first[1:].tolist(), len(x)], strict=False))
+    pieces = 1 + (total >> 22)
+    for piece in range(pieces):  # so many columns at a time that their index stays small
+        own = [v[v % np.uint64(pieces) == piece] for v in sets] if pieces > 1 else sets
+        bounds = np.cumsum([0, *map(len, own)])
+        if not bounds[-1]:
+            continue
+        ids = np.unique(np.concatenate(own), return_inverse=True)[1]
+        counts = np.bincount(ids)
+        starts = np.cumsum(counts) - counts
+        owners = np.repeat(np.arange(m, dtype=np.int32), np.diff(bounds))[np.argsort(ids, kind="stable")]
+        for low, high in runs:
+            mine = ids[bounds[x[low]] : bounds[x[low] + 1]]
+            mine = mine[counts[mine] > 1]
+            for part in np.array_split(mine, 1 + (len(mine) * m >> 20)):
+                if len(part):
+                    n = counts[part]
+                    at = np.arange(int(n.sum())) + np.repeat(starts[part] - (np.cumsum(n) - n), n)
+                    out[low:high] += np.bincount(owners[at], minlength=m)[y[low:high]]
+    return out
+
+
+def _ranges(bounds: np.ndarray, which: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Positions of the entries of each of `which`, and how many each has."""
+    n = bounds[which + 1] - bounds[which]
+    return np.arange(int(n.sum())) + np.repeat(bounds[which] - (np.cumsum(n) - n), n), n
+
+
+def _hot(x: np.ndarray, y: np.ndarray, sets: list[np.ndarray], place: np.ndarray, own: np.ndarray, hist: list[tuple[list[int], list[int]]] | None, rule: Rule) -> tuple[list[tuple[int, int, int]], np.ndarray, list[np.ndarray] | None]:
+    """All links of the pairs x, y that meet first in a hot column's block.
+
+    Gives the links that join two components of the block, with their largest sum of `own`; each row's reach (-1
+    without links); and with the numbers of members by `own`, the number of members that each of these links to."""
+    m = len(sets)
+    reach = np.full(m, -1, np.int64)
+    fresh = _overlaps([v[:n] for v, n in zip(sets, place.tolist(), strict=True)], x, y) == 0
+    x, y = x[fresh], y[fresh]
+    size = np.array([len(v) for v in sets], np.int64)
+    most = ((rule.q + rule.p) * _overlaps(sets, x, y) - rule.p * (size[x] + size[y])) // rule.p
+    good = most >= own[x] + own[y]
+    x, y, most = x[good], y[good], most[good]
+    label, joins = np.arange(m), []
+    if hist is not None:
+        bounds = np.cumsum([0, *(len(u) for u, _ in hist)])
+        owns, nums = (np.array([v for h in hist for v in h[k]], np.int64) for k in (0, 1))
+        counts = np.zeros(len(owns), np.int64)
+    first = np.flatnonzero(np.concatenate(([True], x[1:] != x[:-1]))) if len(x) else np.empty(0, np.int64)
+    for low, high in zip(first.tolist(), [*first[1:].tolist(), len(x)], strict=False):
+        i, j, r = int(x[low]), y[low:high], most[low:high]
+        reach[i] = max(reach[i], int((r - own[j]).max()))
+        reach[j] = np.maximum(reach[j], r - own[i])
+        other, at = np.unique(label[j], return_index=True)
+        at = at[other != label[i]]
+        joins += [(i, int(j[t]), int(r[t])) for t in at]
+        label[np.isin(label, other)] = label[i]
+        if hist is not None:
+            mine = slice(bounds[i], bounds[i + 1])
+            flat, n = _ranges(bounds, j)
+            # Of row i's different `own`, so many are low enough for each `own` of its partners.
+            fit = np.searchsorted(owns[mine], np.repeat(r, n) - owns[flat], side="right")
+            counts[flat] += np.concatenate(([0], np.cumsum(nums[mine])))[fit]
+            by = np.zeros(len(owns[mine]) + 1, np.int64)
+            np.add.at(by, fit, nums[flat])
+            counts[mine] += by[::-1].cumsum()[::-1][1:]
+    return joins, reach, np.split(counts, bounds[1:-1]) if hist is not None else None
+
+
 def _candidates(postings: DataFrame, rule: Rule) -> DataFrame:
-    """kind, a, b, most: what the blocks of the columns find.
+    """kind, a, b, most, counts: what the blocks of the columns find.
 
-    kind 0: a and b meet in a block and may link. In blocks of hot columns overlaps are accumulated at once, and only
-    links that join two components of the block are given (kind 1, with `most`), so their number is that of the rows;
-    classes with several members also get their reach there (kind 2, in `most`)."""
+    kind 0: a and b meet in a block and may link. In blocks of hot columns overlaps are accumulated at once, for every
+    pair that meets first there. Only links that join two components of the block are given (kind 1, with `most`), so
+    their number is that of the rows; classes with several members also get their reach there (kind 2, in `most`), and
+    if links are counted every class gets the numbers of its links there by `own` (kind 3, in `counts`)."""
     n = partitions(postings.sparkSession)
     dealt = postings.repartition(n, "column", "part").sortWithinPartitions("column", "part")
 
@@ -297,48 +374,34 @@ def _candidates(postings: DataFrame, rule: Rule) -> DataFrame:
             key = np.stack([t["column"].to_numpy(), t["part"].to_numpy()])
             edges = np.concatenate(([0], np.flatnonzero((key[:, 1:] != key[:, :-1]).any(axis=0)) + 1, [t.num_rows]))
             who = np.array(t["cls"].to_pylist(), dtype=object)
-            side, size, own = (t[c].to_numpy() for c in ("side", "size", "own"))
+            side, size, own, place = (t[c].to_numpy() for c in ("side", "size", "own", "place"))
             bits = np.frombuffer(b"".join(t["sketch"].to_pylist()), np.uint64).reshape(-1, SKETCH)
             rank = np.unique(who.astype("S16"), return_inverse=True)[1] if len(who) else who
             before = [frozenset(x or ()) for x in t["before"].to_pylist()]
-            shared, more = t["shared"].to_pylist(), t["more"].to_pylist()
+            shared, more, owns, nums = t["shared"], t["more"].to_pylist(), t["owns"].to_pylist(), t["nums"].to_pylist()
             found: set[tuple] = set()
             for a, b in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True):
                 if b - a < 2:
                     continue
                 x, y = _block_pairs(rank[a:b], side[a:b], size[a:b], own[a:b], bits[a:b], rule)
-                root = list(range(b - a))
-                reach: dict[int, int] = {}
-
-                def top(i: int) -> int:
-                    while root[i] != i:
-                        root[i] = root[root[i]]
-                        i = root[i]
-                    return i
-
+                if len(x) and shared[a].is_valid:
+                    some, at = np.unique(np.concatenate([x, y]), return_inverse=True)
+                    rows = (some + a).tolist()
+                    hist = None if owns[a] is None else [(owns[r], nums[r]) for r in rows]
+                    joins, reach, counts = _hot(at[: len(x)], at[len(x) :], [_blob(shared[r].as_py()) for r in rows], place[rows], own[rows], hist, rule)
+                    found.update((1, min(who[rows[i]], who[rows[j]]), max(who[rows[i]], who[rows[j]]), most, None) for i, j, most in joins)
+                    found.update((2, who[r], who[r], int(reach[i]), None) for i, r in enumerate(rows) if more[r] and reach[i] >= 0)
+                    if counts is not None:
+                        # Named by its block, so that equal counts of two blocks stay two rows.
+                        block = key[:, a].tobytes()
+                        found.update((3, who[r], block, None, tuple(counts[i].tolist())) for i, r in enumerate(rows) if counts[i].any())
+                    continue
                 for i, j in zip(x.tolist(), y.tolist(), strict=True):
                     p, r = a + i, a + j
-                    if who[p] == who[r] or not before[p].isdisjoint(before[r]):
-                        continue
-                    low, high = min(who[p], who[r]), max(who[p], who[r])
-                    if shared[p] is None or shared[r] is None:
-                        found.add((0, low, high, None))
-                        continue
-                    apart = top(i) != top(j)
-                    if not (apart or more[p] or more[r]):
-                        continue
-                    most = _most(_blob(shared[p]), _blob(shared[r]), rule)
-                    if most < own[p] + own[r]:
-                        continue
-                    if apart:
-                        root[top(i)] = top(j)
-                        found.add((1, low, high, most))
-                    for here, there in ((p, r), (r, p)):
-                        if more[here]:
-                            reach[here] = max(reach.get(here, -1), most - int(own[there]))
-                found.update((2, who[i], who[i], r) for i, r in reach.items())
+                    if who[p] != who[r] and before[p].isdisjoint(before[r]):
+                        found.add((0, min(who[p], who[r]), max(who[p], who[r]), None, None))
             if found:
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*found, strict=True), [pa.int32(), pa.binary(), pa.binary(), pa.int64()], strict=True)], ["kind", "a", "b", "most"])
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*found, strict=True), [pa.int32(), pa.binary(), pa.binary(), pa.int64(), pa.list_(pa.int64())], strict=True)], ["kind", "a", "b", "most", "counts"])
 
         for batch in batches:
             t = pa.Table.from_batches([batch])
@@ -351,7 +414,7 @@ def _candidates(postings: DataFrame, rule: Rule) -> DataFrame:
         if held is not None and held.num_rows:
             yield from pairs(held.combine_chunks())
 
-    return dealt.mapInArrow(run, "kind int, a binary, b binary, most long").distinct()
+    return dealt.mapInArrow(run, "kind int, a binary, b binary, most long, counts array<long>").distinct()
 
 
 def _most(x: np.ndarray, y: np.ndarray, rule: Rule) -> int:
@@ -381,6 +444,27 @@ def _links(pairs: DataFrame, classes: DataFrame, rule: Rule) -> DataFrame:
     return pairs.join(left, "a").join(right, "b").mapInArrow(run, "a binary, b binary, most long")
 
 
+def _counted(links: DataFrame, met: DataFrame, classes: DataFrame, rule: Rule) -> DataFrame:
+    """cls, n_links: for each class a map from its members' `own` to the number of sets that such a member links to.
+
+    links are those of kind 0; the numbers of kind 3 are added, and the links within the class."""
+    own = classes.select("cls", "owns", "nums")
+    left = own.select(F.col("cls").alias("a"), F.col("owns").alias("owns_a"), F.col("nums").alias("nums_a"))
+    right = own.select(F.col("cls").alias("b"), F.col("owns").alias("owns_b"), F.col("nums").alias("nums_b"))
+    below = "transform({0}, u -> aggregate(zip_with({1}, {2}, (v, n) -> if(u + v <= {3}, n, 0L)), 0L, (s, n) -> s + n))"
+    cold = links.join(left, "a").join(right, "b")
+    rows = cold.select(F.col("a").alias("cls"), F.expr(below.format("owns_a", "owns_b", "nums_b", "most")).alias("counts"))
+    rows = rows.unionByName(cold.select(F.col("b").alias("cls"), F.expr(below.format("owns_b", "owns_a", "nums_a", "most")).alias("counts")))
+    rows = rows.unionByName(met.where("kind = 3").select(F.col("a").alias("cls"), "counts"))
+    # A member of low `own` meets itself in its class as well.
+    room = f"length(grams) div 8 * {rule.q - rule.p} div {rule.p}"
+    inner = below.format("owns", "owns", "nums", room)
+    rows = rows.unionByName(classes.select("cls", F.expr(f"zip_with({inner}, owns, (c, u) -> c - if(2 * u <= {room}, 1L, 0L))").alias("counts")))
+    sums = rows.select("cls", F.posexplode("counts").alias("place", "n")).groupBy("cls", "place").agg(F.sum("n").alias("n"))
+    sums = sums.groupBy("cls").agg(F.sort_array(F.collect_list(F.struct("place", "n"))).alias("sums"))
+    return sums.join(own, "cls").select("cls", F.map_from_arrays("owns", F.col("sums.n")).alias("n_links"))
+
+
 def components(links: DataFrame, name: str = "stars") -> DataFrame:
     """node, root for every node of the links a, b: root is the least node of its component.
 
@@ -403,7 +487,16 @@ def components(links: DataFrame, name: str = "stars") -> DataFrame:
 
 
 def join(docs: DataFrame, k: int = 5, p: int = 4, q: int = 5) -> DataFrame:
-    """doc_id, n_shingles, component_id, is_first for each row of docs; links at q * intersection >= p * union."""
+    """doc_id, n_shingles, component_id for each row of docs; links at q * intersection >= p * union."""
+    return _joined(docs, k, p, q, False)
+
+
+def link_counts(docs: DataFrame, k: int = 5, p: int = 4, q: int = 5) -> DataFrame:
+    """The columns of join() and n_links: how many other distinct sets of docs the row's set links to."""
+    return _joined(docs, k, p, q, True)
+
+
+def _joined(docs: DataFrame, k: int, p: int, q: int, count: bool) -> DataFrame:
     prepare(docs.sparkSession)
     rule = Rule(k, p, q)
     rows = cut(_rows(docs, rule), "sets")
@@ -446,10 +539,17 @@ def join(docs: DataFrame, k: int = 5, p: int = 4, q: int = 5) -> DataFrame:
 
     # Steps 4 and 5, between the classes.
     heads_of = members.groupBy("cls").agg(F.min("own").alias("own"), (F.count("*") > 1).alias("more"))
-    classes = cut(members.select("sig", "cls", "own", "grams", "counts").join(heads_of, ["cls", "own"]).dropDuplicates(["cls"]), "classes")
+    classes = members.select("sig", "cls", "own", "grams", "counts").join(heads_of, ["cls", "own"]).dropDuplicates(["cls"])
+    if count:
+        by_own = members.groupBy("cls", "own").agg(F.count("*").alias("n")).groupBy("cls").agg(F.sort_array(F.collect_list(F.struct("own", "n"))).alias("h"))
+        classes = classes.join(by_own.select("cls", F.col("h.own").alias("owns"), F.col("h.n").alias("nums")), "cls")
+    else:
+        classes = classes.withColumns({c: F.lit(None).cast("array<long>") for c in ("owns", "nums")})
+    classes = cut(classes, "classes")
     met = cut(_candidates(_postings(classes, rule), rule), "pairs")
     decided = met.where("kind = 1").select("a", "b", "most")
-    links = cut(_links(met.where("kind = 0").select("a", "b"), classes, rule).unionByName(decided), "links")
+    cold = cut(_links(met.where("kind = 0").select("a", "b"), classes, rule), "links")
+    links = cold.unionByName(decided)
 
     # A member belongs to its class's component if its own count is within the reach of some link.
     reach = links.select(F.col("a").alias("cls"), F.col("b").alias("other"), "most").unionByName(links.select(F.col("b").alias("cls"), F.col("a").alias("other"), "most"))
@@ -457,16 +557,21 @@ def join(docs: DataFrame, k: int = 5, p: int = 4, q: int = 5) -> DataFrame:
     reach = reach.join(owns, "other").select("cls", (F.col("most") - F.col("own_other")).alias("reach"))
     reach = reach.unionByName(met.where("kind = 2").select(F.col("a").alias("cls"), F.col("most").alias("reach"))).groupBy("cls").agg(F.max("reach").alias("reach"))
     inner = classes.select("cls", F.col("sig").alias("head_sig"), (F.expr(f"(length(grams) div 8 * {q - p}) div {p}") - F.col("own")).alias("inner"))
+    if count:
+        inner = inner.join(_counted(cold, met, classes, rule), "cls")
+    else:
+        inner = inner.withColumn("n_links", F.lit(None).cast("map<bigint,bigint>"))
     roots = components(links).withColumnsRenamed({"node": "cls"})
     joined = members.select("sig", "cls", "own").join(inner, "cls").join(reach, "cls", "left").join(roots, "cls", "left")
-    joined = joined.where("sig = head_sig or own <= greatest(inner, reach)").select("sig", F.coalesce("root", "cls").alias("root"))
+    joined = joined.where("sig = head_sig or own <= greatest(inner, reach)").select("sig", F.coalesce("root", "cls").alias("root"), F.expr("n_links[own]").alias("n_links"))
     named = joined.join(distinct.select("sig", "least"), "sig")
     smallest = named.groupBy("root").agg(F.min("least").alias("component"))
-    named = named.join(smallest, "root").select("sig", "component")
+    named = named.join(smallest, "root").select("sig", "component", "n_links")
     # A table of its own: AQE splits a hot sig only where nothing stands between the shuffles and the join.
-    final = cut(distinct.join(named, "sig", "left").select("sig", F.coalesce("component", "least").alias("component")), "named")
+    final = cut(distinct.join(named, "sig", "left").select("sig", F.coalesce("component", "least").alias("component"), F.coalesce("n_links", F.lit(0)).alias("n_links")), "named")
     out = names.join(final, "sig", "left")
-    return out.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("sig").isNull(), F.col("doc_id")).otherwise(F.col("component")).alias("component_id"))
+    columns = ["doc_id", F.col("n").alias("n_shingles"), F.when(F.col("sig").isNull(), F.col("doc_id")).otherwise(F.col("component")).alias("component_id")]
+    return out.select(*columns, *([F.coalesce("n_links", F.lit(0)).alias("n_links")] if count else []))
 
 
 def first_of_each(docs: DataFrame, k: int = 5, p: int = 4, q: int = 5) -> DataFrame:

@@ -16,6 +16,10 @@ def op1_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_copies.join(table(spark, sf_dir, "documents"), k=3, p=9, q=10)
 
 
+def op1_ngram_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_copies.link_counts(table(spark, sf_dir, "documents"), k=3, p=9, q=10)
+
+
 def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"))
 
@@ -58,5 +62,5 @@ def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (op1_ngram_jaccard, op2_packing, op3_token_counts, op4_nearest_neighbours, op5_chat_format, op6_license_scan, op7_warc, op8_html_text, op9_language_id, op10_decontaminate)
+    for f in (op1_ngram_jaccard, op1_ngram_links, op2_packing, op3_token_counts, op4_nearest_neighbours, op5_chat_format, op6_license_scan, op7_warc, op8_html_text, op9_language_id, op10_decontaminate)
 }

@@ -76,6 +76,35 @@ def test_join_of_near_copies_and_of_nothing(spark, docs):
     assert near_copies.join(docs.limit(0)).count() == 0
 
 
+def brute_links(rows, k, p, q):
+    sets = []
+    for _, text in rows:
+        w = re.findall(r"[^\x20\x09-\x0D]+", lowered(text))
+        sets.append(frozenset(tuple(w[i : i + k]) for i in range(len(w) - k + 1)) if len(w) >= k else frozenset([tuple(w)] if w else []))
+    nodes = {s for s in sets if s}
+    n = {a: sum(q * len(a & b) >= p * len(a | b) for b in nodes if b != a) for a in nodes}
+    return sorted(((rows[i][0], n.get(s, 0)) for i, s in enumerate(sets)), key=str)
+
+
+@pytest.mark.parametrize(("k", "p", "q"), [(3, 9, 10), (5, 4, 5)])
+def test_every_link_is_counted(spark, docs, k, p, q):
+    import random
+
+    rng = random.Random(5)
+    base = [f"w{i}" for i in range(120)]
+    rows = [(r.doc_id, r.text) for r in docs.collect()]
+    for i in range(200):  # families over many hot columns, some with words of their own alone
+        own = list(base)
+        for _ in range(rng.randint(0, 2)):
+            own[rng.choice([3, 40, 41, 77, 110])] = rng.choice(["x", "y", "z"])
+        rows.append((10_000 + i, " ".join(own + [f"own{i}_{j}" for j in range(rng.choice([0, 0, 1, 4]))])))
+    rows += [(20_000 + i, " ".join([f"v{j}" for j in range(60)] + [f"only{i}_{j}" for j in range(i % 9)])) for i in range(60)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    got = near_copies.link_counts(df, k, p, q).collect()
+    assert sorted(((r.doc_id, r.n_links) for r in got), key=str) == brute_links(rows, k, p, q)
+    assert sorted((tuple(r)[:3] for r in got), key=str) == brute_components(rows, k, p, q)
+
+
 def test_one_of_each_group_stays(docs):
     stay = near_copies.first_of_each(docs)
     assert stay.columns == docs.columns
