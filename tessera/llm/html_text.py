@@ -1,7 +1,9 @@
 """HTML extraction (8): the article's text by tree scoring.
 
-A forgiving tokenizer builds a tree. Elements that are never article text (scripts, forms, navigation, asides, and
-those that a class, id or role marks as menu, notice, advert, comments and the like) are left out. Every paragraph,
+A forgiving tokenizer builds a tree. Elements that are never article text (scripts, navigation, asides, hidden ones)
+are left out. Forms and elements that a class, id or role marks as menu, notice, advert, comments and the like are left
+out too, unless they are around the largest <article> or <main> or hold most of the page's unlinked text (which comment
+sections may not claim): a mark then only lowers the score. If no text is left, all marks do no more. Every paragraph,
 that is an element with text of its own, passes points for its length and its commas to its ancestors, less with each
 level; a container's points are discounted by its link density. The best container is kept whole, with those siblings
 that score enough or read like text. A container inside an <article> or <main> stands for that element.
@@ -24,7 +26,7 @@ from tessera.llm.cluster import prepare
 # Elements by their part in a page.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style textarea title xmp iframe noembed noframes".split())
-NEVER = frozenset("script style textarea title xmp iframe noembed noframes noscript template head nav aside footer form button select option input svg math canvas object audio video dialog menu".split())
+NEVER = frozenset("script style textarea title xmp iframe noembed noframes noscript template head nav aside footer button select option input svg math canvas object audio video dialog menu".split())
 INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr".split())
 SCOPE = frozenset("html body article main section div td th table ul ol dl blockquote li".split())
 #: Elements that may stand inside a paragraph without ending it.
@@ -35,6 +37,10 @@ MARKS = frozenset(
     "advertising sponsor sponsored promo promotion form login signup newsletter subscribe subscription search share sharing social comment comments commentlist disqus reply replies respond related recommended "
     "pagination pager toolbar widget skip".split()
 )
+#: A class or id that begins with one of these is a reader's part, however long.
+COMMENTS = frozenset("comment comments commentlist disqus reply replies respond".split())
+#: What a mark leaves of the score of an element that stays.
+MARKED = 0.75
 ROLES = frozenset("navigation banner contentinfo complementary search alert alertdialog dialog form menu menubar toolbar".split())
 
 _TAG = re.compile(r"""<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^"'>]|"[^"]*"|'[^']*')*)(?:>|\Z)""", re.S)
@@ -44,34 +50,43 @@ _RAW_END = {tag: re.compile(rf"</{tag}(?=[\s/>]|\Z)", re.I | re.A) for tag in RA
 
 
 class Node:
-    __slots__ = ("children", "dropped", "links", "parent", "score", "size", "tag")
+    __slots__ = ("children", "dropped", "links", "mark", "parent", "score", "size", "tag")
 
-    def __init__(self, tag: str, parent: Node | None, dropped: bool = False):
-        self.tag, self.parent, self.dropped = tag, parent, dropped
+    def __init__(self, tag: str, parent: Node | None, dropped: bool = False, mark: str = ""):
+        self.tag, self.parent, self.dropped, self.mark = tag, parent, dropped, mark
         self.children: list[Node | str] = []
         self.score, self.size, self.links = 0.0, 0, 0
 
 
-def _unwanted(tag: str, attributes: str, parent: Node) -> bool:
+def _unwanted(tag: str, attributes: str, parent: Node) -> tuple[bool, str]:
+    """Whether an element is never article text, and its mark: "comments", "other" or none."""
     if tag in NEVER:
-        return True
+        return True, ""
     if tag == "header":
         while parent is not None and parent.tag not in ("article", "main"):
             parent = parent.parent
-        return parent is None
-    if not attributes or tag in ("html", "body", "article", "main"):
-        # An article may still be a reader's comment.
-        if tag != "article" or not attributes:
-            return False
+        return parent is None, ""
+    mark = "other" if tag == "form" else ""
+    if not attributes or tag in ("html", "body", "main"):
+        return False, mark
     for name, *values in _ATTRIBUTE.findall(attributes):
         name, value = name.lower(), "".join(values).lower()
-        if name in ("class", "id") and (MARKS & set(_WORD.findall(value)) if tag != "article" else {"comment", "comments", "reply", "ad", "advert", "sponsored", "promo"} & set(_WORD.findall(value))):
-            return True
-        if name == "role" and value in ROLES or name == "hidden" or name == "aria-hidden" and value == "true":
-            return True
+        if tag == "article":
+            # An article may still be a reader's comment.
+            marks = {"comment", "comments", "reply", "ad", "advert", "sponsored", "promo"}
+        else:
+            marks = MARKS
+        if name in ("class", "id") and marks & set(_WORD.findall(value)):
+            if any(COMMENTS & set(_WORD.findall(x)[:1]) for x in value.split()):
+                mark = "comments"
+            mark = mark or "other"
+        if name == "role" and value in ROLES:
+            mark = mark or "other"
+        if name == "hidden" or name == "aria-hidden" and value == "true":
+            return True, ""
         if name == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value):
-            return True
-    return False
+            return True, ""
+    return False, mark
 
 
 def parse(page: str) -> Node:
@@ -110,7 +125,7 @@ def parse(page: str) -> Node:
                 node = node.parent
             if node.tag in own:
                 at = node.parent
-        node = Node(tag, at, _unwanted(tag, m[3], at))
+        node = Node(tag, at, *_unwanted(tag, m[3], at))
         at.children.append(node)
         if tag in RAW:
             m = _RAW_END[tag].search(page, position)
@@ -122,6 +137,31 @@ def parse(page: str) -> Node:
     return root
 
 
+def settle(root: Node, keep_all: bool = False) -> bool:
+    """Drop the marked elements that may go, or none; whether any element is marked."""
+    order, stack = [], [(root, False, False)]
+    while stack:
+        x, link, comment = stack.pop()
+        order.append((x, link, comment))
+        stack += [(c, link or c.tag == "a", comment or c.mark == "comments") for c in x.children if not isinstance(c, str) and not (c.dropped and not c.mark)]
+    marked = [x for x, _, _ in order if x.mark]
+    if not marked:
+        return False
+    free: dict[int, int] = {}
+    for x, link, _ in reversed(order):
+        own = 0 if link else sum(len(c) - c.count(" ") for c in x.children if isinstance(c, str) and c.strip())
+        free[id(x)] = own + sum(free.get(id(c), 0) for c in x.children if not isinstance(c, str))
+    spared: set[int] = set()
+    articles = [x for x, _, comment in order if x.tag in ("article", "main") and not x.mark and not comment and free[id(x)]]
+    up = max(articles, key=lambda x: free[id(x)], default=None)
+    while up is not None:
+        spared.add(id(up))
+        up = up.parent
+    for x in marked:
+        x.dropped = not (keep_all or id(x) in spared or x.mark != "comments" and 2 * free[id(x)] > free[id(root)])
+    return True
+
+
 def _measure(node: Node, in_link: bool, found: list[Node]) -> None:
     """Sizes and link sizes of all kept nodes, and the paragraphs; no recursion, pages may be deep."""
     order, stack = [], [(node, in_link)]
@@ -172,7 +212,7 @@ def choose(root: Node) -> list[Node]:
         if node is None:
             return [root]
         while node is not None:
-            node.score += points / level
+            node.score += points / level * (MARKED if node.mark else 1)
             scored[id(node)] = node
             level, node = level * 2 if level < 4 else level * 3, node.parent
     best = max(scored.values(), key=lambda x: x.score * (1 - x.links / max(x.size, 1)))
@@ -225,7 +265,14 @@ def blocks_of(nodes: list[Node]) -> Iterator[str]:
 def main_text(page: str | None) -> str:
     if not page:
         return ""
-    return " ".join(x for x in blocks_of(choose(parse(page))) if x)
+    root = parse(page)
+    marked = settle(root)
+    text = " ".join(x for x in blocks_of(choose(root)) if x)
+    if marked and not text:
+        root = parse(page)
+        settle(root, keep_all=True)
+        text = " ".join(x for x in blocks_of(choose(root)) if x)
+    return text
 
 
 def extract(pages: DataFrame) -> DataFrame:

@@ -282,3 +282,23 @@ def test_decontamination_equals_brute_force(spark, docs):
     assert sorted(got, key=str) == sorted(want, key=str)
     assert decontaminate.clean(docs, bench).count() == sum(not x[5] for x in want)
     assert decontaminate.report(docs, bench.limit(0)).where("contaminated").count() == 0
+
+
+BODY = "<h1>Title</h1><p>" + "One, two and three words. " * 20 + "</p><p>" + "More, of the same. " * 20 + "</p>"
+
+
+@pytest.mark.parametrize("wrapper", ["div class='content no-sidebar'", "div class='with-sidebar'", "div id='has-comments'", "section class='post-form'", "form action='/x'", "div role='form'", "div class='widget search'"])
+@pytest.mark.parametrize("inner", ["article", "main", "div"])
+def test_marked_wrappers_keep_the_article(wrapper, inner):
+    tag = wrapper.split()[0]
+    page = f"<div class='banner'>buy now</div><{wrapper}><{inner}>{BODY}</{inner}><div class='sidebar'><p>aside text</p></div></{tag}><p class='cookie'>cookies</p>"
+    got = html_text.main_text(page)
+    assert got.startswith("Title One, two") and got.endswith("of the same.") and not any(x in got for x in ("buy", "aside", "cookies"))
+
+
+def test_marks_still_drop_comments_and_give_way_to_nothing_left():
+    readers = "<div class='comments-area'><article><p>" + "I think, so. " * 90 + "</p></article></div>"
+    assert "think" not in html_text.main_text(f"<div><div>{BODY}</div>{readers}</div>")
+    assert "think" not in html_text.main_text(f"<div><article>{BODY}</article>{readers}</div>")
+    assert html_text.main_text("<div class='comments'><p>Only, this.</p></div>") == "Only, this."
+    assert html_text.main_text("<div class='promo'><p>Left, here.</p></div><div class='menu'><p>and there.</p></div>") in ("Left, here.", "Left, here. and there.")
