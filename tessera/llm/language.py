@@ -11,7 +11,7 @@ text and lang are learned from; lang, source and doc_id are never inputs of a pr
 
 Defined cases: text that is null or holds no letter gets `und` and score 0, as all texts do if nothing is labelled.
 A null doc_id counts as the empty text for the fold. Repeated rows are predicted each. `predict` returns its own
-columns only, `keep` those of its input.
+columns only, `keep` those of its input. `keep` rejects texts without a letter and no others, with a network or without.
 """
 
 from __future__ import annotations
@@ -214,14 +214,17 @@ def predict(docs: DataFrame, net: Network | None) -> DataFrame:
 
 
 def keep(docs: DataFrame, net: Network | None) -> DataFrame:
-    """The rows of docs, with all their columns, whose text has a language."""
+    """The rows of docs, with all their columns, whose text has a letter, which is what has a language; without a network too."""
     prepare(docs.sparkSession)
     where = docs.columns.index("text")
 
     @tidied
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            good = [x != UNKNOWN for _, langs, _ in _label(batch.column(where), net) for x in langs]
+            if net is None:  # nothing was labelled: that says nothing against these texts
+                good = [_letters(block, i) for block in tb.blocks(batch.column(where), 1 << 20) for i in range(len(block))]
+            else:
+                good = [x != UNKNOWN for _, langs, _ in _label(batch.column(where), net) for x in langs]
             yield batch.filter(pa.array(good, pa.bool_()))
 
     return docs.mapInArrow(run, docs.schema)

@@ -284,6 +284,15 @@ def test_decontamination_equals_brute_force(spark, docs):
     assert decontaminate.report(docs, bench.limit(0)).where("contaminated").count() == 0
 
 
+def test_documents_without_labels_stay(spark, docs):
+    bare = docs.withColumn("lang", F.lit(None).cast("string"))
+    net = language.fit(bare)
+    want = sorted((r.doc_id for r in docs.collect() if any(c.isalpha() for c in r.text or "")), key=str)
+    assert net is None and len(want) > 200
+    assert sorted((r.doc_id for r in language.keep(bare, net).collect()), key=str) == want
+    assert sorted((r.doc_id for r in language.keep(docs, language.fit(docs)).collect()), key=str) == want
+
+
 BODY = "<h1>Title</h1><p>" + "One, two and three words. " * 20 + "</p><p>" + "More, of the same. " * 20 + "</p>"
 
 
