@@ -6,7 +6,9 @@ out too, unless they are around the largest <article> or <main> or hold most of
 sections may not claim): a mark then only lowers the score. If no text is left, all marks do no more. Every paragraph,
 that is an element with text of its own, passes points for its length and its commas to its ancestors, less with each
 level; a container's points are discounted by its link density. The best container is kept whole, with those siblings
-that score enough or read like text. A container inside an <article> or <main> stands for that element.
+that score enough or are articles, headings, lists, quotes or other text blocks with few links. A container inside an
+<article> or <main> stands for that element, one that directly holds some for the largest of them; the siblings of that
+element follow the same rule.
 
 Defined cases: null or empty html gives the empty text. Repeated rows are extracted each. Pages without any markup
 are one block. Elements may nest to any depth. Only page_id, url and html of the input are read.
@@ -31,6 +33,8 @@ INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font
 SCOPE = frozenset("html body article main section div td th table ul ol dl blockquote li".split())
 #: Elements that may stand inside a paragraph without ending it.
 WITHIN = INLINE | (VOID - {"hr"}) | frozenset("script style template noscript button select option textarea title iframe object audio video canvas svg math".split())
+#: Elements that stay beside the best container if few of their letters are links.
+BESIDE = frozenset("article p h1 h2 h3 h4 h5 h6 ul ol dl blockquote pre".split())
 CLOSES_ITSELF = {"li": "li", "dt": "dt dd", "dd": "dt dd", "tr": "tr td th", "td": "td th", "th": "td th", "option": "option"}
 MARKS = frozenset(
     "nav navbar navigation menu breadcrumb breadcrumbs header masthead footer sidebar aside notice notices cookie cookies consent gdpr banner alert popup modal overlay ad ads adv advert adverts advertisement "
@@ -219,11 +223,15 @@ def choose(root: Node) -> list[Node]:
     up = best
     while up is not None:
         if up.tag in ("article", "main"):
-            return [up]
+            return _with_siblings(up)
         up = up.parent
     inner = [c for c in best.children if not isinstance(c, str) and not c.dropped and c.tag in ("article", "main")]
     if inner:
-        return sorted(inner, key=lambda x: -x.size)[:1]
+        return _with_siblings(max(inner, key=lambda x: x.size))
+    return _with_siblings(best)
+
+
+def _with_siblings(best: Node) -> list[Node]:
     if best.parent is None:
         return [best]
     least = max(10.0, best.score * 0.2)
@@ -232,7 +240,7 @@ def choose(root: Node) -> list[Node]:
         if isinstance(c, str) or c.dropped:
             continue
         dense = c.links / max(c.size, 1)
-        if c is best or c.score * (1 - dense) >= least or c.tag in ("p", "h1", "h2") and c.size and dense < 0.25:
+        if c is best or c.score * (1 - dense) >= least or c.tag in BESIDE and c.size and dense < 0.25:
             kept.append(c)
     return kept
 

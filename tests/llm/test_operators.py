@@ -311,3 +311,15 @@ def test_marks_still_drop_comments_and_give_way_to_nothing_left():
     assert "think" not in html_text.main_text(f"<div><article>{BODY}</article>{readers}</div>")
     assert html_text.main_text("<div class='comments'><p>Only, this.</p></div>") == "Only, this."
     assert html_text.main_text("<div class='promo'><p>Left, here.</p></div><div class='menu'><p>and there.</p></div>") in ("Left, here.", "Left, here. and there.")
+
+
+@pytest.mark.parametrize("wrapper", ["div", "main"])
+def test_sibling_parts_stay(wrapper):
+    teaser = "<ul><li><a href='/'>linked list</a></li></ul><article><a href='/'>linked teaser</a></article><article class='comment'>said, this</article>"
+    page = f"<div><div><p><a href='/'>top</a></p></div><{wrapper}><article>{BODY}</article><article><p>Second part.</p></article><section><p>{'Beside, it. ' * 200}</p></section>{teaser}</{wrapper}></div>"
+    got = html_text.main_text(page)
+    assert "Title One" in got and "Second part." in got and "Beside, it." in got and "said" not in got
+    assert wrapper == "main" or "linked" not in got
+    plain = f"<div><div>{BODY}</div><h3>Short</h3><ul><li>item</li></ul><blockquote>quote</blockquote><pre>code</pre><ul><li><a href='/'>linked</a></li></ul></div>"
+    got = html_text.main_text(plain)
+    assert all(x in got for x in ("of the same.", "Short", "item", "quote", "code")) and "linked" not in got
