@@ -1,7 +1,8 @@
 """Numpy kernels over Arrow string columns: words and n-grams of many whole texts at once.
 
 A column's texts lie back to back in one byte buffer. Words are found as runs of word bytes, and a word's 64-bit
-hash comes from prefix sums of a polynomial over the bytes, so no Python object is made per word.
+hash comes from prefix sums of a polynomial over the bytes, so no Python object is made per word. Polynomials modulo
+2^64 have collisions of long, regular strings, so words of more than LONG bytes are hashed one by one by xxh3.
 """
 
 from __future__ import annotations
@@ -15,6 +16,9 @@ import pyarrow as pa
 #: Bytes of text that one kernel call takes at most, unless a single text is longer.
 SLICE_BYTES = 1 << 20
 
+#: Bytes from which on a span is hashed by xxh3.
+LONG = 32
+
 _lower = np.arange(256, dtype=np.uint8)
 _lower[65:91] += 32
 LOWER = _lower
@@ -62,7 +66,13 @@ def span_hashes(symbols: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np
     weighted += np.uint64(1)
     weighted *= up[:n]
     np.cumsum(weighted, out=sums[1:])
-    return mix((sums[ends] - sums[starts]) * down[starts])
+    out = mix((sums[ends] - sums[starts]) * down[starts])
+    if symbols.dtype == np.uint8 and len(long := np.flatnonzero(ends - starts > LONG)):
+        import xxhash
+
+        view = memoryview(np.ascontiguousarray(symbols))
+        out[long] = [xxhash.xxh3_64_intdigest(view[a:b]) for a, b in zip(starts[long].tolist(), ends[long].tolist(), strict=True)]
+    return out
 
 
 @dataclass

@@ -1,8 +1,9 @@
 """Token ids of many whole texts at once, exactly as a public tokenizer gives them.
 
 For the byte-level BPE in byte_bpe_50k.json, no token reaches over the start of a run of white space, so a text is
-cut there into pieces whose ids do not depend on each other. A block's distinct pieces are found by hash; only those
-that the worker does not remember are encoded, as one string, and a text's ids are gathered from the pieces'. The
+cut there into pieces whose ids do not depend on each other. A block's distinct pieces are found by a 64-bit hash, which
+is xxh3 for long ones; only those that the worker does not remember are encoded, as one string, and a text's ids are
+gathered from the pieces'. The
 rank file of the same vocabulary does that encoding (tests hold it against the library); a text that holds a string
 of a special token goes to the library itself, which has its own rules for these. Other tokenizers (.json by
 tokenizers, .model by sentencepiece) encode text by text.
@@ -22,8 +23,8 @@ import pyarrow.compute as pc
 from tessera.llm import textblocks as tb
 
 BPE = "byte_bpe_50k.json"
-#: Pieces that a worker remembers; beyond that it forgets all and begins anew.
-REMEMBERED = 500_000
+#: Pieces and bytes of pieces that a worker remembers; beyond either it forgets all and begins anew.
+REMEMBERED, REMEMBERED_BYTES = 400_000, 16 << 20
 
 
 def tokenizer_path(name: str = BPE) -> str:
@@ -92,7 +93,7 @@ class Pieces(Library):
 
     def forget(self) -> None:
         self.keys, self.at, self.size = np.empty(0, np.uint64), np.empty(0, np.int64), np.empty(0, np.int64)
-        self.ids = np.empty(0, np.uint32)
+        self.ids, self.learned = np.empty(0, np.uint32), 0
 
     @staticmethod
     def cuts(block: tb.Block) -> np.ndarray:
@@ -124,7 +125,7 @@ class Pieces(Library):
         starts = self.cuts(block)
         ends = np.append(starts[1:], n)
         keys, first, which = np.unique(tb.span_hashes(block.data, starts, ends), return_index=True, return_inverse=True)
-        if len(self.keys) > REMEMBERED:
+        if len(self.keys) > REMEMBERED or self.learned > REMEMBERED_BYTES:
             self.forget()
         slot = np.searchsorted(self.keys, keys)
         new = np.ones(len(keys), bool)
@@ -145,6 +146,7 @@ class Pieces(Library):
         blank_end = _WHITE[data[ends - 1]]
         plain = ~bare & ~blank_end
         where, count = np.empty(len(keys), np.int64), np.empty(len(keys), np.int64)
+        self.learned += int(sizes.sum())
         base = len(self.ids)
         fresh = np.empty(0, np.uint32)
         if plain.any():

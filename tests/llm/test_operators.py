@@ -323,3 +323,32 @@ def test_sibling_parts_stay(wrapper):
     plain = f"<div><div>{BODY}</div><h3>Short</h3><ul><li>item</li></ul><blockquote>quote</blockquote><pre>code</pre><ul><li><a href='/'>linked</a></li></ul></div>"
     got = html_text.main_text(plain)
     assert all(x in got for x in ("of the same.", "Short", "item", "quote", "code")) and "linked" not in got
+
+
+def thue_morse(one: str, other: str, n: int) -> tuple[str, str]:
+    bits = [bin(i).count("1") % 2 for i in range(n)]
+    return "".join(other if b else one for b in bits), "".join(one if b else other for b in bits)
+
+
+def test_regular_strings_do_not_collide(spark):
+    texts = [*thue_morse(".", "/", 2048), *thue_morse("a", "b", 4096), *thue_morse("é", "ü", 1024)]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id: r.n_tokens for r in token_counts.count_tokens(df).collect()}
+    assert got == {i: len(library_ids(t)) for i, t in enumerate(texts)}
+    assert [r.component_id for r in near_copies.join(df, 3, 9, 10).orderBy("doc_id").collect()] == list(range(len(texts)))
+
+
+def test_counts_come_from_the_cache(spark):
+    cache = new_folder(spark, "cache")
+    first = spark.createDataFrame([(1, "one two"), (2, "one two"), (3, "three")], "doc_id long, text string")
+    token_counts.count_tokens(first, cache).collect()
+    version = tokens.version()
+    digest = F.unhex(F.sha2(F.lit("planted text"), 256))
+    for n in (76, 77):  # a count that was appended twice counts once
+        spark.range(1).select(digest.alias("digest"), F.lit(version).alias("version"), F.lit(n).cast("long").alias("n_tokens")).write.mode("append").parquet(cache)
+    spark.range(1).select(F.unhex(F.sha2(F.lit("four"), 256)).alias("digest"), F.lit("another version").alias("version"), F.lit(99).cast("long").alias("n_tokens")).write.mode("append").parquet(cache)
+    again = spark.createDataFrame([(1, "planted text"), (1, "planted text"), (4, "four"), (5, "four"), (6, "one two")], "doc_id long, text string")
+    got = sorted((r.doc_id, r.n_tokens) for r in token_counts.count_tokens(again, cache).collect())
+    assert got == [(1, 77), (1, 77), (4, 1), (5, 1), (6, 2)]
+    assert spark.read.parquet(cache).where(F.col("version") == version).count() == 5
+    assert token_counts.count_tokens(first.limit(0), cache).count() == 0 and spark.read.parquet(cache).count() == 6
