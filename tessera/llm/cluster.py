@@ -57,10 +57,13 @@ def tidied(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]])
     return tidy
 
 
-def cut(df: DataFrame, name: str) -> DataFrame:
-    """Write df as a table in the shared folder and read it back: later stages restart from files, not from the plan."""
+def cut(df: DataFrame, name: str, tidy: bool = True) -> DataFrame:
+    """Write df as a table in the shared folder and read it back: later stages restart from files, not from the plan.
+
+    tidy: release() shuffle files first, which is not worth its time before small tables."""
     path = new_folder(df.sparkSession, name)
-    release(df.sparkSession)
+    if tidy:
+        release(df.sparkSession)
     df.write.parquet(path)
     out = df.sparkSession.read.schema(df.schema).parquet(path)
     out.cut_path = path

@@ -23,8 +23,10 @@ of hot columns that join nothing new are not rows: `link_counts` adds them up in
 either class, and gives every document the number of other distinct sets that its set links to.
 
 Defined cases: null or empty text, or text without words, has n_shingles 0 and is linked with nothing, so its
-component is its own doc_id and it has no links. Copies of one set are no links. A text of fewer than k words is one shingle. Repeated rows and ties link like any copies.
-A row without doc_id gets its group's smallest doc_id, or null. Only doc_id and text of the input are read.
+component is its own doc_id and it has no links. Copies of one set are no links. A text of fewer than k words is one
+shingle. Repeated rows and ties link like any copies. A row without doc_id links like any other and gets its group's
+smallest doc_id, or null if the group has none; rows of one doc_id with differing texts are documents of their own.
+Only doc_id and text of the input are read.
 """
 
 from __future__ import annotations
@@ -40,6 +42,9 @@ from pyspark.sql import functions as F
 from tessera.llm import textblocks as tb
 from tessera.llm.cluster import cut, discard, key_join, partitions, prepare, tidied, trim
 
+#: Rows of (digest, id) or (node, node) that are broadcast at most.
+FEW = 300_000
+
 #: Bits of a parity sketch, in 64-bit words.
 SKETCH = 4
 #: Rows of a chunk of a column with more rows than that.
@@ -468,17 +473,19 @@ def _counted(links: DataFrame, met: DataFrame, classes: DataFrame, rule: Rule) -
 def components(links: DataFrame, name: str = "stars") -> DataFrame:
     """node, root for every node of the links a, b: root is the least node of its component.
 
-    Alternating large-star and small-star steps; every round is written to the shared folder."""
-    edges = cut(links.select(F.greatest("a", "b").alias("v"), F.least("a", "b").alias("u")).where("v <> u").distinct(), name)
+    Alternating large-star and small-star steps; every round is written to the shared folder. The least neighbours are
+    tables of their own, so AQE can split a node with very many links in the joins."""
+    edges = cut(links.select(F.greatest("a", "b").alias("v"), F.least("a", "b").alias("u")).where("v <> u").distinct(), name, tidy=False)
     before = None
     while True:
         both = edges.unionByName(edges.select(F.col("u").alias("v"), F.col("v").alias("u")))
-        low = both.groupBy("v").agg(F.min("u").alias("m")).select("v", F.least("v", "m").alias("m"))
+        low = cut(both.groupBy("v").agg(F.min("u").alias("m")).select("v", F.least("v", "m").alias("m")), name, tidy=False)
         large = both.join(low, "v").where("u > v").select(F.col("u").alias("v"), F.col("m").alias("u"))
-        large = large.where("v <> u").distinct()
-        low = large.groupBy("v").agg(F.min("u").alias("m"))
-        small = large.join(low, "v").select(F.col("u").alias("v"), F.col("m").alias("u")).unionByName(low.select("v", F.col("m").alias("u")))
-        edges = cut(small.where("v <> u").distinct(), name)
+        large = cut(large.where("v <> u").distinct(), name, tidy=False)
+        least = cut(large.groupBy("v").agg(F.min("u").alias("m")), name, tidy=False)
+        small = large.join(least, "v").select(F.col("u").alias("v"), F.col("m").alias("u")).unionByName(least.select("v", F.col("m").alias("u")))
+        old, edges = edges, cut(small.where("v <> u").distinct(), name, tidy=False)
+        discard(old, low, large, least)
         n, total = edges.agg(F.count("*"), F.sum(F.xxhash64("v", "u").cast("decimal(38,0)"))).first()
         if (n, total) == before:
             break
@@ -488,26 +495,59 @@ def components(links: DataFrame, name: str = "stars") -> DataFrame:
 
 def join(docs: DataFrame, k: int = 5, p: int = 4, q: int = 5) -> DataFrame:
     """doc_id, n_shingles, component_id for each row of docs; links at q * intersection >= p * union."""
-    return _joined(docs, k, p, q, False)
+    return _joined(docs, k, p, q, False).select("doc_id", "n_shingles", "component_id")
 
 
 def link_counts(docs: DataFrame, k: int = 5, p: int = 4, q: int = 5) -> DataFrame:
     """The columns of join() and n_links: how many other distinct sets of docs the row's set links to."""
-    return _joined(docs, k, p, q, True)
+    return _joined(docs, k, p, q, True).select("doc_id", "n_shingles", "component_id", "n_links")
+
+
+def _with_sig(docs: DataFrame, k: int, extra: str, kind: str) -> DataFrame:
+    """The rows of docs with the digest of each text's set (null without words) or, for kind "set", also its size and
+    shingles as `n` and `grams`."""
+    where = docs.columns.index("text")
+    whole = kind == "set"
+
+    @tidied
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for block, sets in _sets(batch.column(where), k):
+                own = batch.slice(block.first, len(block))
+                more = [pa.array([_digest(x) if len(x) else None for x in sets], pa.binary())]
+                if whole:
+                    more += [pa.array([len(x) for x in sets], pa.int64()), _blobs(sets)]
+                yield pa.RecordBatch.from_arrays([*own.columns, *more], [*own.schema.names, extra, *["n", "grams"] * whole])
+
+    from pyspark.sql.types import BinaryType, LongType, StructField, StructType
+
+    fields = [StructField(extra, BinaryType()), *[StructField("n", LongType()), StructField("grams", BinaryType())] * whole]
+    return docs.mapInArrow(run, StructType([*docs.schema.fields, *fields]))
+
+
+def _unnamed(docs: DataFrame, again: DataFrame) -> DataFrame:
+    """The rows that their doc_id does not name: it is null, or several rows have it."""
+    return docs.where("doc_id is null").unionByName(key_join(docs, again, ["doc_id"], "left_semi", rows=FEW))
+
+
+def _repeated(names: DataFrame) -> DataFrame:
+    return cut(names.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").select("doc_id"), "repeated", tidy=False)
 
 
 def _joined(docs: DataFrame, k: int, p: int, q: int, count: bool) -> DataFrame:
+    """doc_id, n_shingles, component_id, n_links, sig, and stays: whether the row is of its component's first set."""
     prepare(docs.sparkSession)
     rule = Rule(k, p, q)
     rows = cut(_rows(docs, rule), "sets")
     order = F.struct(F.col("doc_id").isNull(), "doc_id", "row")
-    distinct = rows.where("sig is not null").groupBy("sig").agg(F.min("doc_id").alias("least"), F.min_by("row", order).alias("first_row"))
+    distinct = rows.where("sig is not null").groupBy("sig").agg(F.min("doc_id").alias("least"), F.min_by("row", order).alias("first_row"), (F.count("*") > 1).alias("copied"))
     distinct = cut(distinct, "distinct")
 
     names = cut(rows.select("doc_id", "n", "sig"), "names")
+    again = _repeated(names)
 
     # Step 2: of each distinct set one row brings the head.
-    copies = rows.where("sig is not null").select("sig", "row").join(distinct, "sig").where("row <> first_row").select("row")
+    copies = cut(rows.where("sig is not null").select("sig", "row").join(distinct.where("copied").select("sig", "first_row"), "sig").where("row <> first_row").select("row"), "copies", tidy=False)
     heads = key_join(rows.where("sig is not null").select("row", "sig", "n", "head"), copies, ["row"], "left_anti", rows=1_000_000)
     blocked = cut(_blocked(heads, "head"), "heads")
 
@@ -515,27 +555,30 @@ def _joined(docs: DataFrame, k: int, p: int, q: int, count: bool) -> DataFrame:
         return (sig,) if int((counts > 1).sum()) >= min(rule.needed(n), len(grams)) else None
 
     living = cut(_with_counts(blocked, alive, "sig binary"), "living")
-    del heads, copies
-    discard(rows, blocked)
+    del heads
+    discard(rows, blocked, copies)
 
-    # Step 3: whole sets of the rows left.
+    # Step 3: whole sets of the rows left. A doc_id of one row leads to its text; other texts are found by their digest.
     texts = docs.select("doc_id", "text")
     owners = living.join(distinct, "sig").select("sig", F.col("least").alias("doc_id"))
+    by_id = cut(key_join(owners.where("doc_id is not null"), again, ["doc_id"], "left_anti", rows=FEW), "owners", tidy=False)
+    by_sig = cut(owners.where("doc_id is null").unionByName(key_join(owners, again, ["doc_id"], "left_semi", rows=FEW)).select("sig"), "owners", tidy=False)
 
     def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             wanted = batch.column("sig").to_pylist()
             for block, sets in _sets(batch.column("text"), k):
-                keep = [(s, x) for s, x in zip(wanted[block.first : block.first + len(block)], sets, strict=True) if len(x) and _digest(x) == s]
-                yield pa.RecordBatch.from_arrays([pa.array([s for s, _ in keep], pa.binary()), pa.array([len(x) for _, x in keep], pa.int64()), _blobs([x for _, x in keep])], ["sig", "n", "grams"])
+                own = wanted[block.first : block.first + len(block)]
+                yield pa.RecordBatch.from_arrays([pa.array(own, pa.binary()), pa.array([len(x) for x in sets], pa.int64()), _blobs(sets)], ["sig", "n", "grams"])
 
-    full = key_join(texts, owners, ["doc_id"], "inner", rows=300_000).select("sig", "text").mapInArrow(whole, "sig binary, n long, grams binary")
-    if not names.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").isEmpty():
-        full = full.dropDuplicates(["sig"])  # a doc_id of several rows brings their texts several times
+    full = key_join(texts, by_id, ["doc_id"], "inner", rows=FEW).select("sig", "text").mapInArrow(whole, "sig binary, n long, grams binary")
+    if not by_sig.isEmpty():
+        others = key_join(_with_sig(_unnamed(texts, again), k, "sig", "set").select("sig", "n", "grams"), by_sig, ["sig"], "left_semi", rows=FEW)
+        full = full.unionByName(others.groupBy("sig").agg(F.any_value("n").alias("n"), F.any_value("grams").alias("grams")))
     blocked = cut(_blocked(full, "grams"), "whole")
     members = cut(_with_counts(blocked, _classes(rule), "sig binary, cls binary, own long, grams binary, counts binary"), "members")
     del full
-    discard(blocked, living)
+    discard(blocked, living, by_id, by_sig, again)
 
     # Steps 4 and 5, between the classes.
     heads_of = members.groupBy("cls").agg(F.min("own").alias("own"), (F.count("*") > 1).alias("more"))
@@ -546,6 +589,7 @@ def _joined(docs: DataFrame, k: int, p: int, q: int, count: bool) -> DataFrame:
     else:
         classes = classes.withColumns({c: F.lit(None).cast("array<long>") for c in ("owns", "nums")})
     classes = cut(classes, "classes")
+    members = cut(members.select("sig", "cls", "own"), "members-of", tidy=False)
     met = cut(_candidates(_postings(classes, rule), rule), "pairs")
     decided = met.where("kind = 1").select("a", "b", "most")
     cold = cut(_links(met.where("kind = 0").select("a", "b"), classes, rule), "links")
@@ -562,26 +606,41 @@ def _joined(docs: DataFrame, k: int, p: int, q: int, count: bool) -> DataFrame:
     else:
         inner = inner.withColumn("n_links", F.lit(None).cast("map<bigint,bigint>"))
     roots = components(links).withColumnsRenamed({"node": "cls"})
-    joined = members.select("sig", "cls", "own").join(inner, "cls").join(reach, "cls", "left").join(roots, "cls", "left")
+    facts = cut(inner.join(reach, "cls", "left").join(roots, "cls", "left"), "facts", tidy=False)
+    joined = members.join(facts, "cls")
     joined = joined.where("sig = head_sig or own <= greatest(inner, reach)").select("sig", F.coalesce("root", "cls").alias("root"), F.expr("n_links[own]").alias("n_links"))
-    named = joined.join(distinct.select("sig", "least"), "sig")
-    smallest = named.groupBy("root").agg(F.min("least").alias("component"))
-    named = named.join(smallest, "root").select("sig", "component", "n_links")
+    named = cut(joined.join(distinct.select("sig", "least"), "sig"), "rooted", tidy=False)
+    first = F.min(F.struct(F.col("least").isNull(), "least", "sig"))
+    smallest = cut(named.groupBy("root").agg(F.min("least").alias("component"), first["sig"].alias("first_sig")), "smallest", tidy=False)
+    linked = named.join(smallest, "root").select("sig", "component", "n_links", (F.col("sig") == F.col("first_sig")).alias("first"))
     # A table of its own: AQE splits a hot sig only where nothing stands between the shuffles and the join.
-    final = cut(distinct.join(named, "sig", "left").select("sig", F.coalesce("component", "least").alias("component"), F.coalesce("n_links", F.lit(0)).alias("n_links")), "named")
-    out = names.join(final, "sig", "left")
-    columns = ["doc_id", F.col("n").alias("n_shingles"), F.when(F.col("sig").isNull(), F.col("doc_id")).otherwise(F.col("component")).alias("component_id")]
-    return out.select(*columns, *([F.coalesce("n_links", F.lit(0)).alias("n_links")] if count else []))
+    final = cut(distinct.join(linked, "sig", "left").select("sig", "least", F.coalesce("component", "least").alias("component"), F.coalesce("n_links", F.lit(0)).alias("n_links"), F.coalesce("first", F.lit(True)).alias("first")), "named")
+    discard(members, classes, met, cold, facts, named, smallest, distinct)
+    return names.join(final, "sig", "left").select(
+        "doc_id",
+        F.col("n").alias("n_shingles"),
+        F.when(F.col("sig").isNull(), F.col("doc_id")).otherwise(F.col("component")).alias("component_id"),
+        F.coalesce("n_links", F.lit(0)).alias("n_links"),
+        "sig",
+        (F.col("sig").isNull() | F.col("first") & F.col("doc_id").eqNullSafe(F.col("least"))).alias("stays"),
+    )
 
 
 def first_of_each(docs: DataFrame, k: int = 5, p: int = 4, q: int = 5) -> DataFrame:
-    """The rows of docs whose doc_id is the smallest of its component; the others are near copies. Of equal rows with
-    one doc_id a single one stays. Rows without doc_id stay, as nothing names them."""
-    found = cut(join(docs, k, p, q), "components")
-    gone = found.where("component_id <> doc_id").select("doc_id").distinct()
-    stay = key_join(docs, gone, ["doc_id"], "left_anti", rows=1_000_000)
-    again = found.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").select("doc_id")
-    if again.isEmpty():
-        return stay.select(*docs.columns)
-    twice = key_join(stay, again, ["doc_id"], "left_semi").dropDuplicates(["doc_id", "text"])
-    return key_join(stay, again, ["doc_id"], "left_anti").select(*docs.columns).unionByName(twice.select(*docs.columns))
+    """The rows of docs that stay if one document of each component does: that of the smallest doc_id (null ones last),
+    and of several such rows the first by digest. Rows without words are linked with nothing, so all of them stay."""
+    found = cut(_joined(docs, k, p, q, False).select("doc_id", "sig", "stays"), "components")
+    again = _repeated(found)
+    named = docs.where("doc_id is not null")
+    gone = cut(key_join(found.where("not stays and doc_id is not null").select("doc_id"), again, ["doc_id"], "left_anti", rows=FEW), "gone", tidy=False)
+    stay = key_join(key_join(named, gone, ["doc_id"], "left_anti", rows=1_000_000), again, ["doc_id"], "left_anti", rows=FEW).select(*docs.columns)
+    if again.isEmpty() and found.where("doc_id is null").isEmpty():
+        return stay
+    # Rows that no doc_id names are told apart by the digest of their set.
+    sig = "sig"
+    while sig in docs.columns:
+        sig += "_"
+    rows = _with_sig(_unnamed(docs, again), k, sig, "digest")
+    keep = cut(found.where("stays and sig is not null").select(F.col("doc_id").alias("keep_id"), F.col("sig").alias("keep_sig")).distinct(), "keep", tidy=False)
+    kept = rows.join(keep, rows["doc_id"].eqNullSafe(keep["keep_id"]) & (rows[sig] == keep["keep_sig"]), "left_semi").dropDuplicates(["doc_id", sig])
+    return stay.unionByName(kept.select(*docs.columns)).unionByName(rows.where(F.col(sig).isNull()).select(*docs.columns))

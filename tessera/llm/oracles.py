@@ -27,9 +27,11 @@ WITH RECURSIVE cut AS MATERIALIZED (
     SELECT x, x FROM ways UNION SELECT r.x, b.y FROM reached r JOIN ways b ON b.x = r.y
 ), least_of AS (
     SELECT x, min(y) AS y FROM reached GROUP BY x
+), degree AS (
+    SELECT x, count(*) AS n FROM ways GROUP BY x
 )
-SELECT d.doc_id, CAST(d.n AS BIGINT) AS n_shingles, coalesce(l.y, c.node, d.doc_id) AS component_id
-FROM keyed d LEFT JOIN nodes c ON d.k = c.k LEFT JOIN least_of l ON l.x = c.node
+SELECT d.doc_id, CAST(d.n AS BIGINT) AS n_shingles, coalesce(l.y, c.node, d.doc_id) AS component_id, coalesce(g.n, 0) AS n_links
+FROM keyed d LEFT JOIN nodes c ON d.k = c.k LEFT JOIN least_of l ON l.x = c.node LEFT JOIN degree g ON g.x = c.node
 """
 
 CHAT_FORMAT = r"""

@@ -112,6 +112,24 @@ def test_one_of_each_group_stays(docs):
     assert 900005 not in ids and ids.count(900004) == 1 and 900001 in ids and None in ids
 
 
+def test_rows_that_no_id_names_link_and_go_by_their_text(spark):
+    base = [f"w{i}" for i in range(110)]
+    a, c = " ".join(base), " ".join(base[:100] + ["x"] * 3 + base[103:106] + ["y"] * 4)
+    b = " ".join(base[:103] + base[103:106] + ["y"] * 4)
+    other = "something else entirely that stands alone here"
+    for ids in ((1, None, 3), (5, 5, None)):
+        rows = [(ids[0], a), (ids[1], b), (ids[2], c), (ids[1], other), (ids[1], other), (8, ""), (8, None), (None, " ")]
+        df = spark.createDataFrame(rows, "doc_id long, text string").withColumn("sig", F.lit("clash"))
+        if None in ids[1:2]:
+            got = near_copies.link_counts(df, 5, 4, 5).collect()
+            assert sorted((tuple(r)[:3] for r in got), key=str) == brute_components(rows, 5, 4, 5), ids
+            assert sorted(((r.doc_id, r.n_links) for r in got), key=str) == brute_links(rows, 5, 4, 5), ids
+        stay = [(r.doc_id, r.text) for r in near_copies.first_of_each(df, 5, 4, 5).collect()]
+        family = [x for x in stay if x[1] in (a, b, c)]
+        assert len(family) == 1 and family[0][0] == min((i for i in ids if i is not None), default=None), ids
+        assert stay.count((ids[1], other)) == 1 and sum(not (t or "").strip() for _, t in stay) == 3, ids
+
+
 def library_ids(text):
     from tokenizers import Tokenizer
 
