@@ -5,13 +5,16 @@ windows of WINDOW bytes, each filter's largest response in a window is kept, and
 A document's distribution is the mean over all its windows, weighed by their bytes. For prediction the embedding and
 the filters are folded into one table a filter position, so a response is a sum of four table rows.
 
-Training takes a bounded sample: at most PER_LANGUAGE labelled documents of each language, those of least hash of
-doc_id and text, and at most WINDOWS_EACH windows of each; rows that repeat count once. Documents whose crc32(doc_id as text) mod 5 is 0 are held out. Only
-text and lang are learned from; lang, source and doc_id are never inputs of a prediction.
+Training takes a bounded sample: the LANGUAGES most frequent labels (ties by name), at most PER_LANGUAGE labelled
+documents of each, those of least hash of doc_id and text, and at most WINDOWS_EACH windows of each; rows that repeat
+count once. Documents whose crc32(doc_id as text) mod 5 is 0 are held out. Only text and lang are learned from; lang,
+source and doc_id are never inputs of a prediction.
 
 Defined cases: text that is null or holds no letter gets `und` and score 0, as all texts do if nothing is labelled.
 A null doc_id counts as the empty text for the fold. Repeated rows are predicted each. `predict` returns its own
-columns only, `keep` those of its input. `keep` rejects texts without a letter and no others, with a network or without.
+columns only, `keep` those of its input. `keep` rejects texts without a letter, those to whose best language the network
+gives less than `least`, and, if the wanted languages are given, those of others. Where nothing is labelled there is no
+network; texts with a letter then stay unless languages are asked for.
 """
 
 from __future__ import annotations
@@ -30,7 +33,9 @@ from tessera.llm.cluster import prepare, tidied
 UNKNOWN = "und"
 WINDOW = 256
 #: Bounds of the training sample.
-PER_LANGUAGE, WINDOWS_EACH = 800, 2
+LANGUAGES, PER_LANGUAGE, WINDOWS_EACH = 200, 800, 2
+#: Least share of a text's distribution for its best language in `keep`: below it the network knows no language for the text.
+LEAST = 0.4
 WIDTHS, FILTERS, DIMS = (2, 3, 4), 12, 8
 EPOCHS, BATCH, RATE, SEED = 12, 128, 0.01, 7
 
@@ -135,14 +140,12 @@ def fit(docs: DataFrame) -> Network | None:
     prepare(docs.sparkSession)
     key = F.xxhash64("doc_id", "text")
     labelled = docs.where(~held_out() & F.col("lang").isNotNull()).where(F.col("text").isNotNull())
-    counts = {r[0]: r[1] for r in labelled.groupBy("lang").agg(F.approx_count_distinct(key)).collect()}
+    counts = labelled.groupBy("lang").agg(F.count("*").alias("rows"), F.approx_count_distinct(key).alias("n")).orderBy(F.desc("rows"), "lang").limit(LANGUAGES).collect()
     if not counts:
         return None
     # A share of each language's hashes that holds its sample with room to spare.
-    share = F.lit(0.0)
-    for lang, n in sorted(counts.items()):
-        share = F.when(F.col("lang") == lang, min(1.0, (2 * PER_LANGUAGE + 100) / n)).otherwise(share)
-    sample = labelled.where(F.pmod(key, F.lit(1 << 20)) < share * (1 << 20)).select(key.alias("key"), "lang", "text")
+    share = F.create_map(*[F.lit(x) for r in counts for x in (r["lang"], min(1.0, (2 * PER_LANGUAGE + 100) / max(1, r["n"])))])
+    sample = labelled.where(F.pmod(key, F.lit(1 << 20)) < F.coalesce(share[F.col("lang")], F.lit(0.0)) * (1 << 20)).select(key.alias("key"), "lang", "text")
 
     @tidied
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -213,18 +216,19 @@ def predict(docs: DataFrame, net: Network | None) -> DataFrame:
     return source.mapInArrow(run, f"doc_id {source.schema['doc_id'].dataType.simpleString()}, held_out boolean, lang_pred string, score double")
 
 
-def keep(docs: DataFrame, net: Network | None) -> DataFrame:
-    """The rows of docs, with all their columns, whose text has a letter, which is what has a language; without a network too."""
+def keep(docs: DataFrame, net: Network | None, least: float = LEAST, languages: list[str] | None = None) -> DataFrame:
+    """The rows of docs, with all their columns, whose text the network gives a language: see the module's docstring."""
     prepare(docs.sparkSession)
     where = docs.columns.index("text")
+    wanted = None if languages is None else frozenset(languages)
 
     @tidied
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if net is None:  # nothing was labelled: that says nothing against these texts
-                good = [_letters(block, i) for block in tb.blocks(batch.column(where), 1 << 20) for i in range(len(block))]
+                good = [wanted is None and _letters(block, i) for block in tb.blocks(batch.column(where), 1 << 20) for i in range(len(block))]
             else:
-                good = [x != UNKNOWN for _, langs, _ in _label(batch.column(where), net) for x in langs]
+                good = [x != UNKNOWN and score >= least and (wanted is None or x in wanted) for _, langs, scores in _label(batch.column(where), net) for x, score in zip(langs, scores, strict=True)]
             yield batch.filter(pa.array(good, pa.bool_()))
 
     return docs.mapInArrow(run, docs.schema)

@@ -7,11 +7,15 @@ product with the room that is left, each dimension weighed by its limit. Example
 step looks at the distinct vectors of the pool, at most max_tokens of them for plain text. Where nothing fits, one
 example may be cut to fill the sequence. What is open at a task's end is cut at powers of two, which need no padding.
 
+For instruction data a document may have a prompt, whose tokens come first and bear no loss; a document's end id never
+bears any. Plain text without prompts bears loss on every other token, so that its loss limit cannot bind before its
+token limit; the limit of segments can, where documents are short.
+
 Each task packs its own examples in pools of POOL; nothing is shuffled, memory is bounded by a pool, and a task that
 is run again gives the same sequences. Sequence ids hold the task's number in their upper bits.
 
-Defined cases: null text is empty, and an empty document has its end id alone. Repeated rows are packed each. An
-empty table gives no pieces. Only doc_id and text of the input are read.
+Defined cases: null text or prompt is empty, and an empty document has its end id alone. Repeated rows are packed each.
+An empty table gives no pieces. Only doc_id, text and the prompt's column of the input are read.
 """
 
 from __future__ import annotations
@@ -25,11 +29,13 @@ import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from tessera.llm import tokens
 from tessera.llm.cluster import prepare, tidied
 
-MAX_TOKENS = 1024
+#: Production limits of a sequence.
+MAX_TOKENS, MAX_SEGMENTS = 1024, 8
 #: Remainders that are placed together.
 POOL = 8192
 END = 0
@@ -38,7 +44,7 @@ END = 0
 @dataclass
 class Limits:
     tokens: int = MAX_TOKENS
-    segments: int = MAX_TOKENS
+    segments: int = MAX_SEGMENTS
     loss: int = MAX_TOKENS
 
 
@@ -128,19 +134,21 @@ class Packer:
 PIECES = "start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, loss_tokens long"
 
 
-def pack(docs: DataFrame, name: str = tokens.BPE, limits: Limits | None = None, with_ids: bool = False) -> DataFrame:
+def pack(docs: DataFrame, name: str = tokens.BPE, limits: Limits | None = None, with_ids: bool = False, prompt: str | None = None) -> DataFrame:
     """doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset, loss_tokens[, ids] of every piece.
 
-    A document is the tokenizer's ids of its text and the id END, which bears no loss."""
+    A document is the tokenizer's ids of its prompt (the column of that name, if given), of its text, and the id END;
+    only the text's ids bear loss."""
     prepare(docs.sparkSession)
     limits = limits or Limits()
-    source = docs.select("doc_id", "text")
+    source = docs.select("doc_id", "text", *([F.col(prompt).alias("_prompt")] if prompt else []))
     kind = source.schema["doc_id"].dataType.simpleString()
 
     @tidied
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[int, tuple[object, np.ndarray, int]] = {}  # of each waiting document: its id, its last ids, where they begin
         sizes: dict[int, int] = {}
+        asked: dict[int, int] = {}  # tokens of a document's prompt
         left: dict[int, int] = {}
         out: list[tuple] = []
         last: list[tuple] = []  # pieces of the open sequence, which may yet be cut
@@ -148,7 +156,11 @@ def pack(docs: DataFrame, name: str = tokens.BPE, limits: Limits | None = None,
         base = TaskContext.get().partitionId() << 40
         full_number = base + (1 << 39)
         step = min(limits.tokens, limits.loss)
-        packer = Packer(limits, lambda d, start, n: n - (start + n == sizes[d]), base)
+
+        def loss(d: int, start: int, n: int) -> int:
+            return max(0, min(start + n, sizes[d] - 1) - max(start, asked.get(d, 0)))
+
+        packer = Packer(limits, loss, base)
 
         def emit(piece: tuple) -> None:
             d, start, n, sequence, offset = piece
@@ -159,6 +171,7 @@ def pack(docs: DataFrame, name: str = tokens.BPE, limits: Limits | None = None,
             left[d] -= n
             if not left[d]:
                 del held[d], sizes[d], left[d]
+                asked.pop(d, None)
 
         def placed(pieces: Iterator[tuple]) -> None:
             for piece in pieces:
@@ -177,10 +190,13 @@ def pack(docs: DataFrame, name: str = tokens.BPE, limits: Limits | None = None,
 
         for batch in batches:
             doc_type = batch.column("doc_id").type
+            heads = [x for block, ids, at in tokens.encode(batch.column("_prompt"), name) for x in np.split(ids, at[1:-1])] if prompt else None
             for block, ids, at in tokens.encode(batch.column("text"), name):
                 for i, doc_id in enumerate(batch.column("doc_id").slice(block.first, len(block)).to_pylist()):
                     own = np.append(ids[at[i] : at[i + 1]], np.uint32(END))
                     d, serial = serial, serial + 1
+                    if heads is not None and len(head := heads[block.first + i]):
+                        own, asked[d] = np.concatenate([head, own]), len(head)
                     sizes[d] = left[d] = len(own)
                     full = len(own) // step * step
                     held[d] = (doc_id, own, 0)

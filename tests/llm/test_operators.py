@@ -163,6 +163,27 @@ def test_packing_is_whole_and_tight(docs):
         assert covered == len(ids)
 
 
+def test_packing_of_prompts_under_binding_limits(spark, docs):
+    rows = spark.createDataFrame([(i, "Question, number %d: " % i + "why " * (i % 40), "Because. " * (i * 7 % 30)) for i in range(400)] + [(400, None, None), (401, "only asked", ""), (402, "p " * 900, "t " * 700)], "doc_id long, prompt string, text string")
+    limits = packing.Limits(tokens=256, segments=6, loss=90)
+    pieces = packing.pack(rows, limits=limits, with_ids=True, prompt="prompt").collect()
+    total, by_doc = collections.defaultdict(lambda: [0, 0, 0]), collections.defaultdict(list)
+    for p in pieces:
+        assert p.ids and len(p.ids) == p.length
+        by_doc[p.doc_id].append(p)
+        for i, v in enumerate((p.length, 1, p.loss_tokens)):
+            total[p.sequence_id][i] += v
+    assert all(t <= 256 and n <= 6 and x <= 90 for t, n, x in total.values())
+    assert any(n == 6 for _, n, _ in total.values()) and any(x == 90 for _, _, x in total.values()) and any(t == 256 for t, _, _ in total.values())
+    for r in rows.collect():
+        own = sorted(by_doc[r.doc_id], key=lambda p: p.start)
+        head, body = library_ids(r.prompt), library_ids(r.text)
+        assert [i for p in own for i in p.ids] == [*head, *body, 0] and sum(p.loss_tokens for p in own) == len(body)
+    short = spark.range(5000).select(F.col("id").alias("doc_id"), F.lit("ab").alias("text"))
+    segments = packing.pack(short).groupBy("sequence_id").count()
+    assert segments.agg(F.max("count")).first()[0] == packing.MAX_SEGMENTS
+
+
 def test_packing_limits(docs):
     limits = packing.Limits(tokens=256, segments=3, loss=200)
     found = packing.pack(docs, limits=limits).groupBy("sequence_id").agg(F.sum("length").alias("t"), F.count("*").alias("s"), F.sum("loss_tokens").alias("l"))
@@ -308,7 +329,21 @@ def test_documents_without_labels_stay(spark, docs):
     want = sorted((r.doc_id for r in docs.collect() if any(c.isalpha() for c in r.text or "")), key=str)
     assert net is None and len(want) > 200
     assert sorted((r.doc_id for r in language.keep(bare, net).collect()), key=str) == want
-    assert sorted((r.doc_id for r in language.keep(docs, language.fit(docs)).collect()), key=str) == want
+    assert language.keep(bare, net, languages=["en"]).count() == 0
+
+
+def test_the_network_decides_what_stays(spark, docs):
+    net = language.fit(docs)
+    scored = language.predict(docs, net).join(docs.where("doc_id < 900000").select("doc_id", "text"), "doc_id").collect()
+    for least, languages in ((language.LEAST, None), (0.95, None), (0.0, ["de", "fr"]), (0.0, [])):
+        want = sorted(r.doc_id for r in scored if r.lang_pred != "und" and r.score >= least and (languages is None or r.lang_pred in languages))
+        got = language.keep(docs, net, least, languages).where("doc_id < 900000")
+        assert sorted(r.doc_id for r in got.select("doc_id").collect()) == want
+    assert len([r for r in scored if r.score >= 0.95]) < len([r for r in scored if r.score >= language.LEAST])
+    mixed = spark.createDataFrame([(1, "0123 --- 456 !!!"), (2, "zq xj"), (3, None)], "doc_id long, text string").withColumn("score", F.lit("clash"))
+    assert language.keep(mixed, net, least=0.999).count() == 0 and language.keep(mixed, net, least=0.0).columns == mixed.columns
+    assert language.keep(docs.limit(0), net).count() == 0 and language.predict(docs.limit(0), None).count() == 0
+    assert {(r.lang_pred, r.score) for r in language.predict(docs, None).collect()} == {("und", 0.0)}
 
 
 BODY = "<h1>Title</h1><p>" + "One, two and three words. " * 20 + "</p><p>" + "More, of the same. " * 20 + "</p>"
