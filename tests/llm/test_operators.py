@@ -321,6 +321,29 @@ def test_decontamination_equals_brute_force(spark, docs):
     assert sorted(got, key=str) == sorted(want, key=str)
     assert decontaminate.clean(docs, bench).count() == sum(not x[5] for x in want)
     assert decontaminate.report(docs, bench.limit(0)).where("contaminated").count() == 0
+    matches = []
+    for r in docs.collect():
+        w = cut(r.text)
+        at = collections.defaultdict(list)
+        for i, x in enumerate(w):
+            at[x].append(i)
+        for item, own in items:
+            size = min(10, len(own))
+            for s in range(len(own) - size + 1) if own else ():
+                for i in at[own[s]]:
+                    n = 0
+                    while s + n < len(own) and i + n < len(w) and own[s + n] == w[i + n]:
+                        n += 1
+                    if n >= size:
+                        matches.append((item, s, r.doc_id, i, n))
+    found = [tuple(r) for r in decontaminate.longest_matches(docs, bench).collect()]
+    assert sorted(found, key=str) == sorted(matches, key=str) and any(m[4] > 10 for m in matches)
+    with pytest.MonkeyPatch.context() as patch:  # a test set of several shards
+        patch.setattr(decontaminate, "TEST_WORDS", 200)
+        assert sorted((tuple(r)[:6] for r in decontaminate.report(docs, bench).collect()), key=str) == sorted(want, key=str)
+        kept = decontaminate.clean(docs, bench)
+        assert kept.columns == docs.columns and kept.count() == sum(not x[5] for x in want)
+        assert sorted((tuple(r) for r in decontaminate.longest_matches(docs, bench).collect()), key=str) == sorted(matches, key=str)
 
 
 def test_documents_without_labels_stay(spark, docs):
