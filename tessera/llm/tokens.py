@@ -58,13 +58,18 @@ class Library:
             self.one = lambda text: model.encode(text, add_special_tokens=False).ids
             self.decode = lambda ids: model.decode(ids, skip_special_tokens=False)
             self.special = sorted(t.content.encode() for t in model.get_added_tokens_decoder().values())
+            self.special_ids = {i: t.content.encode() for i, t in model.get_added_tokens_decoder().items()}
         else:
             import sentencepiece
 
             model = sentencepiece.SentencePieceProcessor(model_file=path)
             self.one = lambda text: model.encode(text, num_threads=1)
             self.decode = model.decode
-            self.special = []
+            self.special, self.special_ids = [], {}
+
+    def texts(self, ids: np.ndarray, bounds: np.ndarray) -> list[bytes]:
+        """The bytes of the segments ids[bounds[i] : bounds[i + 1]]."""
+        return [self.decode(ids[a:b].tolist()).encode() for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True)]
 
     def block(self, block: tb.Block) -> tuple[np.ndarray, np.ndarray]:
         ids = [np.array(self.one(block.text(i).decode()), np.uint32) for i in range(len(block))]
@@ -86,11 +91,20 @@ class Pieces(Library):
         with open(path.removesuffix(".json") + ".tiktoken", "rb") as f:
             ranks = {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, f)}
         self.coder = tiktoken.Encoding("pieces", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
-        self.width = np.zeros(max(ranks.values()) + 1, np.int64)
-        for token, rank in ranks.items():
+        every = {rank: token for token, rank in ranks.items()} | self.special_ids
+        self.width = np.zeros(max(every) + 1, np.int64)
+        for rank, token in every.items():
             self.width[rank] = len(token)
+        self.first = np.cumsum(self.width) - self.width
+        self.bytes = np.frombuffer(b"".join(every[rank] for rank in sorted(every)), np.uint8)
         self.forget()
 
+    def texts(self, ids: np.ndarray, bounds: np.ndarray) -> list[bytes]:
+        width = self.width[ids]
+        data = self.bytes[tb.ragged(self.first[ids], width)].tobytes()
+        edges = np.concatenate(([0], np.cumsum(width)))[bounds].tolist()
+        return [data[a:b] for a, b in zip(edges[:-1], edges[1:], strict=True)]
+
     def forget(self) -> None:
         self.keys, self.at, self.size = np.empty(0, np.uint64), np.empty(0, np.int64), np.empty(0, np.int64)
         self.ids, self.learned = np.empty(0, np.uint32), 0

@@ -5,6 +5,7 @@ import re
 import zlib
 
 import duckdb
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -209,8 +210,6 @@ def test_neighbours_recall_and_edge_cases(spark):
     got = collections.defaultdict(list)
     for r in neighbours.search(every, F.col("vec_id") % 20 == 0).orderBy("query_id", "rank").collect():
         got[r.query_id].append((r.vec_id, r.score))
-    import numpy as np
-
     kept = [(r.vec_id, r.embedding) for r in rows.unionByName(copies).orderBy("vec_id").collect()]
     ids, x = np.array([k for k, _ in kept]), np.array([v for _, v in kept], np.float32)
     queries = np.flatnonzero(ids % 20 == 0)
@@ -235,6 +234,20 @@ def test_chat_round_trip(spark):
         assert r.turns_sha256 == hashlib.sha256("".join(f"{x[2] or ''}\n{x[3] or ''}\n" for x in own).encode()).hexdigest()
         assert (r.loss_chars, r.loss_sha256) == (len(learned), hashlib.sha256(learned.encode()).hexdigest())
     assert chat.read_back(chat.assemble(df.limit(0))).count() == 0
+    # The readable form and the ids say the same.
+    for r in chat.assemble(df).collect():
+        ((role, text),) = chat.parse(r.formatted)
+        plain = [i for i in r.ids if i not in (chat.OPEN_ID, chat.SPLIT_ID, chat.CLOSE_ID)]
+        assert tokens.coder().texts(np.array(plain, np.int64), np.array([0, len(plain)]))[0].decode() == r.formatted.removeprefix("### ").removesuffix(" </turn>\n").replace(": ", "", 1)
+        learned = [i for i, m in zip(r.ids, r.loss_mask, strict=True) if m]
+        assert learned == (library_ids(chat.escape(text)) if role == "assistant" else [])
+    # What is read back is what the ids hold, not what they should have held.
+    turns = chat.assemble(df).where("conv_id = 1 and place = 1")
+    wrong = turns.withColumn("loss_mask", F.transform("loss_mask", lambda m: F.lit(False)))
+    broken = turns.withColumn("ids", F.slice("ids", 2, 100))
+    assert chat.read_back(wrong).first().loss_chars == 0 and chat.read_back(turns).first().loss_chars > 0
+    with pytest.raises(Exception, match="reserved ids"):
+        chat.read_back(broken).collect()
 
 
 def test_licenses(spark, docs):
@@ -243,6 +256,62 @@ def test_licenses(spark, docs):
     got = {r.doc_id: tuple(r)[1:7] for r in licenses.scan(df).collect()}
     assert got == {0: (10, 2, 1, 6, "mit", "mit"), 1: (8, 1, 3, 3, "apache-2", "apache-2"), 2: (13, 1, 0, 0, "cc-by-nc", "cc-by-nc,gpl-3"), 3: (3, 0, None, None, "", ""), 4: (0, 0, None, None, "", "")}
     assert all(0 <= r.score <= 1 for r in licenses.scan(docs).collect())
+    empty = licenses.scan(docs.limit(0))
+    assert empty.count() == 0 and empty.columns == licenses.scan(docs).columns
+
+
+def brute_licence(text):
+    """Labels and score of one text, word by word, from the definition."""
+    w = re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", lowered(text))
+    notices = [n.split() for _, n, _ in licenses.TEMPLATES]
+    df = collections.Counter(x for n in notices for x in set(n))
+    labels, score = {label for p, label in licenses.BASE.items() if any(w[i : i + len(p.split())] == p.split() for i in range(len(w)))}, 0.0
+    for notice, (label, _, needed) in zip(notices, licenses.TEMPLATES, strict=True):
+        most = max(licenses.RARE * len(notices), min(df[x] for x in notice))
+        weight = {j: np.log(1 + len(notices) / df[x]) for j, x in enumerate(notice) if df[x] <= most}
+        votes = collections.defaultdict(set)
+        for i, x in enumerate(w):
+            for j in weight:
+                if notice[j] == x:
+                    votes[i - j].add(j)
+        share = lambda js: sum(weight[j] for j in js) / sum(weight.values())  # noqa: E731, B023
+        for begin in votes:
+            near = set().union(*(votes[b] for b in votes if begin <= b <= begin + licenses.SLACK))
+            score = max(score, share(votes[begin]), share(near) if share(near) >= licenses.LEAST else 0)
+            if share(near) >= licenses.LEAST:
+                placed = []
+                for p in needed:
+                    p = p.split()
+                    own = next(j for j in range(len(notice)) if notice[j : j + len(p)] == p)
+                    placed.append(any(w[i : i + len(p)] == p and -licenses.SLACK <= i - begin - own <= 2 * licenses.SLACK for i in range(len(w))))
+                if all(placed):
+                    labels.add(label)
+    return ",".join(sorted(labels)), min(1.0, score)
+
+
+def test_licence_labels_come_from_alignment(spark, docs):
+    import random
+
+    rng, rows = random.Random(3), []
+    for _, notice, _ in licenses.TEMPLATES:
+        words = notice.split()
+        rows.append(notice)
+        rows.append("Some text first. " + " ".join(words[:3] + ["really"] + words[3:]).upper() + " and after")  # a word put in
+        rows.append(" ".join(words[: len(words) // 2]))
+        shuffled = list(words)
+        rng.shuffle(shuffled)
+        rows.append(" ".join(shuffled))
+        rows.append(" ".join(w for w in words if rng.random() > 0.2))
+        rows.append(f"{notice} {' '.join(words[1:])} license license in in the mit")
+    rows += [" ".join(rng.choice(licenses.TEMPLATES)[1] for _ in range(6)), "a b c " * 4000 + licenses.TEMPLATES[13][1]]
+    rows += [r.text for r in docs.select("text").distinct().limit(60).collect() if len(r.text or "") < 2000]
+    df = spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string")
+    got = {r.doc_id: (r.labels, r.score) for r in licenses.scan(df).collect()}
+    for i, text in enumerate(rows):
+        labels, score = brute_licence(text)
+        assert got[i][0] == labels and abs(got[i][1] - score) < 1e-9, text
+    for i, (label, _, _) in enumerate(licenses.TEMPLATES):
+        assert label in got[6 * i][0].split(",") and got[6 * i][1] == pytest.approx(1.0)
 
 
 def test_warc_round_trip(spark):
