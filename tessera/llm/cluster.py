@@ -17,9 +17,11 @@ ARROW_ROWS = 1000
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder in spark.checkpoint.dir; on a session without that setting (tests) one of its own."""
+    """The folder in spark.checkpoint.dir; on a local session without that setting (tests) one of its own."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not found:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         import tempfile
 
         found = "file://" + tempfile.mkdtemp(prefix="tessera-")
@@ -27,9 +29,19 @@ def shared_folder(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
+_made: list[str] = []
+
+
 def new_folder(spark: SparkSession, name: str) -> str:
     """A path in the shared folder that nothing else uses."""
-    return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
+    _made.append(f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}")
+    return _made[-1]
+
+
+def sweep(spark: SparkSession) -> None:
+    """Delete every folder that this driver made in the shared folder, once no result that rests on them is needed."""
+    while _made:
+        drop_folder(spark, _made.pop())
 
 
 def release(spark: SparkSession) -> None:

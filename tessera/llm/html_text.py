@@ -2,13 +2,15 @@
 
 A forgiving tokenizer builds a tree. Elements that are never article text (scripts, navigation, asides, hidden ones)
 are left out. Forms and elements that a class, id or role marks as menu, notice, advert, comments and the like are left
-out too, unless they are around the largest <article> or <main> or hold most of the page's unlinked text (which comment
-sections may not claim): a mark then only lowers the score. If no text is left, all marks do no more. Every paragraph,
-that is an element with text of its own, passes points for its length and its commas to its ancestors, less with each
-level; a container's points are discounted by its link density. The best container is kept whole, with those siblings
-that score enough or are articles, headings, lists, quotes or other text blocks with few links. A container inside an
-<article> or <main> stands for that element, one that directly holds some for the largest of them; the siblings of that
-element follow the same rule.
+out too, unless they are around the largest <article> or <main> or, on pages without, hold most of the unlinked text
+(which comment sections may not claim): a mark then only lowers the score. If no text is left, all marks do no more. A class or id is a
+mark by its head word (`blog-sidebar`, `ad-slot`), not by any word in it (`no-sidebar`, `related-work`).
+
+Every paragraph, that is an element with text of its own, passes points for its length and its commas to its ancestors,
+less with each level; a container's points are discounted by its link density. The best container is kept whole, with
+those siblings, and text beside it, that score enough or have few links. A container inside an <article> or <main>
+stands for that element, one that directly holds some for the largest of them; the siblings of that element follow the
+same rule.
 
 Defined cases: null or empty html gives the empty text. Repeated rows are extracted each. Pages without any markup
 are one block. Elements may nest to any depth. Only page_id, url and html of the input are read.
@@ -33,14 +35,15 @@ INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font
 SCOPE = frozenset("html body article main section div td th table ul ol dl blockquote li".split())
 #: Elements that may stand inside a paragraph without ending it.
 WITHIN = INLINE | (VOID - {"hr"}) | frozenset("script style template noscript button select option textarea title iframe object audio video canvas svg math".split())
-#: Elements that stay beside the best container if few of their letters are links.
-BESIDE = frozenset("article p h1 h2 h3 h4 h5 h6 ul ol dl blockquote pre".split())
 CLOSES_ITSELF = {"li": "li", "dt": "dt dd", "dd": "dt dd", "tr": "tr td th", "td": "td th", "th": "td th", "option": "option"}
 MARKS = frozenset(
     "nav navbar navigation menu breadcrumb breadcrumbs header masthead footer sidebar aside notice notices cookie cookies consent gdpr banner alert popup modal overlay ad ads adv advert adverts advertisement "
     "advertising sponsor sponsored promo promotion form login signup newsletter subscribe subscription search share sharing social comment comments commentlist disqus reply replies respond related recommended "
     "pagination pager toolbar widget skip".split()
 )
+#: Words after a mark that leave it one (`ad-slot`), and before it that take it away (`no-sidebar`).
+NEUTRAL = frozenset("area aside bar block body bottom box button buttons col column container content foot group head holder icons inner inset item items left link links list main menu module nav outer panel post posts article articles primary right row secondary section site slot small story stories top unit widget widgets wrap wrapper zone".split())
+WITHOUT = frozenset("no not non with without has have is hide hides below above".split())
 #: A class or id that begins with one of these is a reader's part, however long.
 COMMENTS = frozenset("comment comments commentlist disqus reply replies respond".split())
 #: What a mark leaves of the score of an element that stays.
@@ -62,6 +65,22 @@ class Node:
         self.score, self.size, self.links = 0.0, 0, 0
 
 
+def _marked(value: str, marks: frozenset[str] | set[str]) -> str:
+    """The mark of a class or id: "comments", "other" or none."""
+    found = ""
+    for name in value.split():
+        words = [w for w in _WORD.findall(name) if not w.isdigit()]
+        if WITHOUT.intersection(words):
+            continue
+        while len(words) > 1 and words[-1] in NEUTRAL and words[-1] not in marks:
+            words.pop()
+        if words and (words[-1] in marks or words[0] in marks and words[0] in COMMENTS):
+            if words[0] in COMMENTS or words[-1] in COMMENTS:
+                return "comments"
+            found = "other"
+    return found
+
+
 def _unwanted(tag: str, attributes: str, parent: Node) -> tuple[bool, str]:
     """Whether an element is never article text, and its mark: "comments", "other" or none."""
     if tag in NEVER:
@@ -80,10 +99,9 @@ def _unwanted(tag: str, attributes: str, parent: Node) -> tuple[bool, str]:
             marks = {"comment", "comments", "reply", "ad", "advert", "sponsored", "promo"}
         else:
             marks = MARKS
-        if name in ("class", "id") and marks & set(_WORD.findall(value)):
-            if any(COMMENTS & set(_WORD.findall(x)[:1]) for x in value.split()):
-                mark = "comments"
-            mark = mark or "other"
+        if name in ("class", "id"):
+            own = _marked(value, marks)
+            mark = own if own == "comments" else mark or own
         if name == "role" and value in ROLES:
             mark = mark or "other"
         if name == "hidden" or name == "aria-hidden" and value == "true":
@@ -158,11 +176,12 @@ def settle(root: Node, keep_all: bool = False) -> bool:
     spared: set[int] = set()
     articles = [x for x, _, comment in order if x.tag in ("article", "main") and not x.mark and not comment and free[id(x)]]
     up = max(articles, key=lambda x: free[id(x)], default=None)
+    largest = 0 if up is not None else 2  # without an article, what holds more than half of the text may be the page
     while up is not None:
         spared.add(id(up))
         up = up.parent
     for x in marked:
-        x.dropped = not (keep_all or id(x) in spared or x.mark != "comments" and 2 * free[id(x)] > free[id(root)])
+        x.dropped = not (keep_all or id(x) in spared or x.mark != "comments" and largest * free[id(x)] > free[id(root)])
     return True
 
 
@@ -203,7 +222,7 @@ def _commas(node: Node) -> int:
     return n
 
 
-def choose(root: Node) -> list[Node]:
+def choose(root: Node) -> list[Node | str]:
     """The best container and the siblings that belong to it, in page order."""
     found: list[Node] = []
     _measure(root, False, found)
@@ -212,9 +231,7 @@ def choose(root: Node) -> list[Node]:
     scored: dict[int, Node] = {}
     for p in found:
         points = (1 + _commas(p) + min(p.size / 100, 30)) * (1 - p.links / max(p.size, 1))
-        level, node = 1.0, p.parent  # a float: deep levels fade to nothing
-        if node is None:
-            return [root]
+        level, node = 1.0, p.parent or p  # a float: deep levels fade to nothing; text outside of all elements counts for the page
         while node is not None:
             node.score += points / level * (MARKED if node.mark else 1)
             scored[id(node)] = node
@@ -231,21 +248,22 @@ def choose(root: Node) -> list[Node]:
     return _with_siblings(best)
 
 
-def _with_siblings(best: Node) -> list[Node]:
+def _with_siblings(best: Node) -> list[Node | str]:
     if best.parent is None:
         return [best]
     least = max(10.0, best.score * 0.2)
     kept = []
     for c in best.parent.children:
-        if isinstance(c, str) or c.dropped:
-            continue
-        dense = c.links / max(c.size, 1)
-        if c is best or c.score * (1 - dense) >= least or c.tag in BESIDE and c.size and dense < 0.25:
+        if isinstance(c, str):
             kept.append(c)
+        elif not c.dropped:
+            dense = c.links / max(c.size, 1)
+            if c is best or c.score * (1 - dense) >= least or c.size and dense < 0.25:
+                kept.append(c)
     return kept
 
 
-def blocks_of(nodes: list[Node]) -> Iterator[str]:
+def blocks_of(nodes: list[Node | str]) -> Iterator[str]:
     """Texts of the blocks, references decoded and white space made single."""
     parts: list[str] = []
     stack: list = list(reversed(nodes))

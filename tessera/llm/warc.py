@@ -10,6 +10,7 @@ range's start, takes the first candidate whose first bytes decode to a WARC reco
 member to member. It owns the records that start inside its range and reads on past its end to complete the last.
 
 Defined cases: null html is the empty payload, null url or page_id leave their header out and are read back as null.
+Ids are read back in the type they had, strings percent-encoded in between.
 Of repeated rows with one page_id and payload one is the response. An empty table gives no archive and no rows. Only
 page_id, url and html of the input are read.
 """
@@ -27,7 +28,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.cluster import cut, key_join, new_folder, partitions, prepare
+from tessera.llm.cluster import cut, discard, key_join, new_folder, partitions, prepare
 
 MAGIC = b"\x1f\x8b\x08"
 VERSION = b"WARC/1.1\r\n"
@@ -43,8 +44,15 @@ def digest_text(sha1: bytes) -> str:
 
 
 def file_system(path: str):
+    """The pyarrow file system of a Hadoop path, and the path in it."""
     from pyarrow import fs
 
+    scheme, mark, rest = path.partition("://")
+    if mark and scheme.lower() in ("s3a", "s3n"):
+        path = f"s3://{rest}"
+    elif mark and scheme.lower() in ("wasb", "wasbs"):
+        container, _, host = rest.partition("@")
+        path = f"abfs{scheme[4:]}://{container}@{host.replace('.blob.', '.dfs.')}"
     return fs.FileSystem.from_uri(path)
 
 
@@ -61,9 +69,9 @@ def record(page_id, url: str | None, sha1: bytes, size: int, payload: bytes | No
         ("WARC-Date", DATE),
         ("WARC-Target-URI", None if url is None else quote(url, safe=":/?#[]@!$&'()*+,;=~")),
         ("WARC-Payload-Digest", "sha1:" + digest_text(sha1)),
-        ("WARC-Refers-To", None if refers_to is None else f"<urn:page:{refers_to}>"),
+        ("WARC-Refers-To", None if refers_to is None else f"<urn:page:{quote(str(refers_to), safe='')}>"),
         ("WARC-Profile", "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest" if payload is None else None),
-        ("Page-ID", page_id),
+        ("Page-ID", None if page_id is None else quote(str(page_id), safe="")),
         ("Payload-Length", size),
         ("Content-Type", "application/http; msgtype=response"),
         ("Content-Length", len(block)),
@@ -73,7 +81,7 @@ def record(page_id, url: str | None, sha1: bytes, size: int, payload: bytes | No
 
 
 def write(pages: DataFrame, folder: str | None = None) -> DataFrame:
-    """Write the archives; gives their manifest: path, bytes, records."""
+    """Write the archives; gives their manifest: path, bytes, records, id_type (of page_id)."""
     spark = prepare(pages.sparkSession)
     folder = folder or new_folder(spark, "warc")
     kind = pages.schema["page_id"].dataType.simpleString()
@@ -82,7 +90,8 @@ def write(pages: DataFrame, folder: str | None = None) -> DataFrame:
         "pages",
     )
     order = F.struct(F.col("page_id").isNotNull(), "page_id", "row")
-    chosen = stored.groupBy("sha1").agg(F.max("page_id").alias("target"), F.max_by("row", order).alias("chosen"))
+    # A table of its own, so that AQE can split a digest of very many pages in the join.
+    chosen = cut(stored.groupBy("sha1").agg(F.max("page_id").alias("target"), F.max_by("row", order).alias("chosen"), F.count("*").alias("n")).where("n > 1").drop("n"), "chosen")
     revisits = cut(stored.select("row", "page_id", "url", "sha1", "size").join(chosen, "sha1").where("row <> chosen"), "revisits")
     responses = key_join(stored, revisits.select("row"), ["row"], "left_anti", rows=1_000_000)
     columns = ["page_id", "url", "sha1", "size", "html", "target"]
@@ -115,7 +124,9 @@ def write(pages: DataFrame, folder: str | None = None) -> DataFrame:
         yield pa.RecordBatch.from_arrays([pa.array([x[0].rsplit("/", 1)[1] for x in done], pa.string()), pa.array([x[1] for x in done], pa.int64()), pa.array([x[2] for x in done], pa.int64())], ["path", "bytes", "records"])
 
     manifest = records.mapInArrow(run, "path string, bytes long, records long")
-    return cut(manifest.select(F.concat(F.lit(folder + "/"), "path").alias("path"), "bytes", "records"), "warc-manifest")
+    out = cut(manifest.select(F.concat(F.lit(folder + "/"), "path").alias("path"), "bytes", "records", F.lit(kind).alias("id_type")), "warc-manifest")
+    discard(stored, chosen, revisits)
+    return out
 
 
 class _Input:
@@ -172,11 +183,15 @@ def parse(whole: bytes) -> tuple[dict[str, str], bytes]:
     return fields, rest[: int(fields["Content-Length"])]
 
 
-def read(manifest: DataFrame, kind: str = "bigint", range_bytes: int = RANGE_BYTES, payloads: bool = False) -> DataFrame:
+def read(manifest: DataFrame, kind: str | None = None, range_bytes: int = RANGE_BYTES, payloads: bool = False) -> DataFrame:
     """page_id, url, payload_bytes, payload_digest, record_type, refers_to[, payload] of every record.
 
-    A response's length and digest are those of the payload that is read."""
+    Ids are cast to `kind`, or to the type that the manifest gives. A response's length and digest are those of the
+    payload that is read."""
     spark = manifest.sparkSession
+    if kind is None:
+        first = manifest.select("id_type").first() if "id_type" in manifest.columns else None
+        kind = first["id_type"] if first else "bigint"
     ranges = manifest.where("bytes > 0").select("path", "bytes", F.explode(F.sequence(F.lit(0).cast("long"), F.col("bytes") - 1, F.lit(range_bytes).cast("long"))).alias("first"))
     ranges = ranges.repartition(partitions(spark))
 
@@ -199,7 +214,7 @@ def read(manifest: DataFrame, kind: str = "bigint", range_bytes: int = RANGE_BYT
                             raise ValueError(f"{path}: a payload before {at} does not match its digest")
                     url = fields.get("WARC-Target-URI")
                     page, target = fields.get("Page-ID"), fields.get("WARC-Refers-To")
-                    out.append((page, None if url is None else unquote(url), size, digest, fields["WARC-Type"], None if target is None else target.removeprefix("<urn:page:").removesuffix(">"), payload if payloads else None))
+                    out.append((None if page is None else unquote(page), None if url is None else unquote(url), size, digest, fields["WARC-Type"], None if target is None else unquote(target.removeprefix("<urn:page:").removesuffix(">")), payload if payloads else None))
                     if len(out) == 1000:
                         yield result(out)
                         out = []

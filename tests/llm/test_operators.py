@@ -497,3 +497,55 @@ def test_counts_come_from_the_cache(spark):
     assert got == [(1, 77), (1, 77), (4, 1), (5, 1), (6, 2)]
     assert spark.read.parquet(cache).where(F.col("version") == version).count() == 5
     assert token_counts.count_tokens(first.limit(0), cache).count() == 0 and spark.read.parquet(cache).count() == 6
+
+
+def test_an_advert_longer_than_the_article_goes():
+    page = "<body><div class='ad'>Long advert text, much longer than the article is, by far.</div><article><h1>T</h1><p>Short.</article></body>"
+    assert html_text.main_text(page) == "T Short."
+
+
+@pytest.mark.parametrize(("name", "stays"), [("related-work", True), ("no-sidebar", True), ("header-image", True), ("search-results", True), ("post-form", False), ("blog-sidebar", False), ("ad-slot", False), ("related-posts", False), ("cookie_banner", False), ("menu", False), ("comments-area", False), ("ad 300x250", False)])
+def test_marks_are_head_words(name, stays):
+    page = f"<article>{BODY}<section class='{name}'><p>Other words, here.</p></section></article>"
+    assert ("Other words, here." in html_text.main_text(page)) == stays
+
+
+SENTENCE = "The scores, not the tags, decide. "
+
+
+def page_of(parts):
+    return "<html><body>" + "".join(parts) + "</body></html>"
+
+
+def test_scores_decide_on_pages_without_articles():
+    import itertools
+
+    links = "<div class='box'>" + "<p><a href='/x'>" + SENTENCE * 4 + "</a></p>" * 3 + "</div>"
+    short, long = f"<p>{SENTENCE * 2}</p>", f"<p>{SENTENCE * 9}</p>"
+    for before, after, wrap in itertools.product(("", links, "<ul><li><a href='/'>Home</a></li></ul>"), ("", links), ("div", "section", "td")):
+        inner = f"<h2>Head</h2>{long}{short}<blockquote>Quoted.</blockquote>{long}"
+        body = f"<table><tr><td>{inner}</td></tr></table>" if wrap == "td" else f"<{wrap}>{inner}</{wrap}>"
+        want = " ".join(["Head", (SENTENCE * 9).strip(), (SENTENCE * 2).strip(), "Quoted.", (SENTENCE * 9).strip()])
+        assert html_text.main_text(page_of([before, body, after])) == want, (before, after, wrap)
+    # Parts of the text in siblings, however short, and bare text between them.
+    got = html_text.main_text(page_of([f"<div>{long}{long}</div>", "<div>A short part.</div>", "bare text", f"<section>{short}</section>", links]))
+    assert got == " ".join([(SENTENCE * 9).strip()] * 2 + ["A short part.", "bare text", (SENTENCE * 2).strip()])
+    # Of two containers the one with more and longer paragraphs, and commas.
+    few, many = "<div><div><p>Short one.</p></div></div>", f"<div><div>{long}{long}</div></div>"
+    assert (SENTENCE * 9).strip() in html_text.main_text(page_of([few, many]))
+
+
+def test_extract_of_odd_tables(spark):
+    rows = [(1, "u", f"<article>{BODY}</article>"), (1, "u", f"<article>{BODY}</article>"), (2, None, None), (None, "v", ""), (3, "w", "x " * 50_000)]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string").withColumns({"text": F.lit("clash"), "n_chars": F.lit("clash")})
+    got = sorted((tuple(r) for r in html_text.extract(df).collect()), key=str)
+    assert got == sorted(((i, u, t := html_text.main_text(h), len(t)) for i, u, h in rows), key=str)
+    assert html_text.extract(df.limit(0)).columns == ["page_id", "url", "text", "n_chars"] and html_text.extract(df.limit(0)).count() == 0
+
+
+def test_string_ids_in_archives(spark):
+    rows = [("a b/%", "u", "x"), ("z>\n", "u", "x"), (None, "u", "x"), ("\u00e9", None, None)]
+    df = spark.createDataFrame(rows, "page_id string, url string, html string")
+    got = {(r.page_id, r.record_type, r.refers_to) for r in warc.read(warc.write(df)).collect()}
+    assert got == {("a b/%", "revisit", "z>\n"), ("z>\n", "response", None), (None, "revisit", "z>\n"), ("\u00e9", "response", None)}
+    assert warc.file_system.__doc__ and warc.read(warc.write(df.limit(0))).schema["page_id"].dataType.simpleString() in ("string", "bigint")
