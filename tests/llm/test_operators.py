@@ -206,7 +206,7 @@ def test_neighbours_recall_and_edge_cases(spark):
     rows = table(spark, DATA, "embeddings").select("vec_id", "embedding")
     odd = spark.createDataFrame([(90020, None), (90040, [0.0] * 64), (90060, [float("nan")] * 64), (90080, [None] * 64), (90001, [1.0])], "vec_id long, embedding array<float>")
     copies = rows.where("vec_id = 20").select(F.explode(F.sequence(F.lit(50000).cast("long"), F.lit(50060).cast("long"))).alias("vec_id"), "embedding")
-    every = rows.unionByName(odd).unionByName(copies)
+    every = rows.unionByName(odd).unionByName(copies).withColumns({"ids": F.lit("clash"), "list": F.lit("clash"), "query_id": F.lit("clash")})
     got = collections.defaultdict(list)
     for r in neighbours.search(every, F.col("vec_id") % 20 == 0).orderBy("query_id", "rank").collect():
         got[r.query_id].append((r.vec_id, r.score))
@@ -217,6 +217,18 @@ def test_neighbours_recall_and_edge_cases(spark):
     hit = sum(len({v for v, _ in got[int(ids[q])]} & set(w)) for q, w in zip(queries, want, strict=True))
     assert hit >= 0.9 * 20 * len(queries) and set(got) == set(ids[queries].tolist())
     assert [v for v, _ in got[20]] == want[list(ids[queries]).index(20)]
+    # Without any approximation: all of brute force's results, also over many groups and blocks.
+    with pytest.MonkeyPatch.context() as patch:
+        for name, value in (("GROUP_ROWS", 40), ("QUERY_ROWS", 7), ("AT_ONCE", 3)):
+            patch.setattr(neighbours, name, value)
+        all_found = collections.defaultdict(list)
+        for r in neighbours.search(every, F.col("vec_id") % 20 == 0, exact=True).orderBy("query_id", "rank").collect():
+            all_found[r.query_id].append(r.vec_id)
+        assert all_found == {int(ids[q]): w for q, w in zip(queries, want, strict=True)}
+        parted = collections.defaultdict(set)
+        for r in neighbours.search(every, F.col("vec_id") % 20 == 0).collect():
+            parted[r.query_id].add(r.vec_id)
+        assert sum(len(parted[int(ids[q])] & set(w)) for q, w in zip(queries, want, strict=True)) >= 0.9 * 20 * len(queries)
     few = neighbours.search(rows.where("vec_id < 5"), F.col("vec_id") % 20 == 0).collect()
     assert [r.rank for r in few] == [1, 2, 3, 4]
     assert neighbours.search(rows.limit(0), F.col("vec_id") % 20 == 0).count() == 0
