@@ -119,9 +119,9 @@ class Index:
             out[phrase] = start
         return out, at
 
-    def aligned(self, w: tb.Words, at: np.ndarray) -> Iterator[tuple[int, int, int, float]]:
-        """File, template, beginning and share of weight of the places where rare words agree on a beginning: for each
-        file and template those within SLACK of each other as one, if they have LEAST, and the best of the others."""
+    def aligned(self, w: tb.Words, at: np.ndarray, score: np.ndarray) -> Iterator[tuple[int, int, int, float]]:
+        """File, template, beginning and share of weight of the candidates: rare words with LEAST of a template's weight
+        agree, within SLACK, on its beginning. Raises each file's score to its largest share at any one beginning."""
         slot = np.searchsorted(self.words, w.hashes[at])
         slot[slot == len(self.words)] = 0
         hit = self.words[slot] == w.hashes[at] if len(self.words) else np.zeros(len(at), bool)
@@ -139,14 +139,11 @@ class Index:
         possible = np.add.reduceat(share, edges[:-1]) >= LEAST
         same = np.flatnonzero(np.concatenate(([True], fresh[1:] | (begin[1:] != begin[:-1]))))
         sums = np.add.reduceat(share, same)
-        for k in range(len(edges) - 1):
+        np.maximum.at(score, row[same], np.minimum(sums, 1.0))
+        for k in np.flatnonzero(possible).tolist():
             low, high = int(edges[k]), int(edges[k + 1])
             r, t = int(row[low]), int(template[low])
             a, b = np.searchsorted(same, [low, high])
-            best = a + int(sums[a:b].argmax())
-            yield r, t, int(begin[same[best]]), min(1.0, float(sums[best]))
-            if not possible[k]:
-                continue
             for i in same[a:b].tolist():  # beginnings from this one to SLACK words later, each place once
                 end = low + int(np.searchsorted(begin[low:high], begin[i] + SLACK, side="right"))
                 agreed = dict(zip(place[i:end].tolist(), share[i:end].tolist(), strict=True))
@@ -189,9 +186,9 @@ def scan(docs: DataFrame, base: dict[str, str] | None = None, templates: list[tu
                 labels_of = [set(x) for x in base_of]
                 bounds = w.word_bounds.tolist()
                 sorted_starts = {p: np.sort(x) for p, x in found.items()}
-                for r, t, begin, share in index.aligned(w, at):
+                for r, t, begin, share in index.aligned(w, at, score):
                     score[r] = max(score[r], share)
-                    if share >= LEAST and index.templates[t][0] not in labels_of[r]:
+                    if index.templates[t][0] not in labels_of[r]:
                         own = {p: x[np.searchsorted(x, bounds[r]) : np.searchsorted(x, bounds[r + 1])] for p, x in ((p, sorted_starts[p]) for p, _ in index.needed[t])}
                         if index.verified(t, begin, own):
                             labels_of[r].add(index.templates[t][0])
