@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tessera.functions import geo, numeric, text
+from tessera.functions import geo, lookup, numeric, text
 from tessera.operators import address, profile, resolve
 from tessera.sources import seeds
 
@@ -92,20 +92,20 @@ LOCATED_SQL = "located AS (SELECT p.c_custkey,p.lat,p.lon,arg_min(v.code,v.ord)
 
 @query(f"WITH {PROVINCE_SQL},{points_sql()},{LOCATED_SQL} SELECT * FROM located")
 def point_province_bbox(spark, sf_dir):
-    return resolve.locate_province(points(spark, sf_dir)).withColumnRenamed("province", "province_code")
+    return points(spark, sf_dir).withColumn("province_code", lookup.province_at(F.col("lat"), F.col("lon")))
 
 
 @query(f"WITH {PROVINCE_SQL},{points_sql()},{LOCATED_SQL} SELECT v.ord,v.code AS province_code,count(l.c_custkey) AS n_points FROM province v LEFT JOIN located l ON l.province_code=v.code GROUP BY ALL")
 def point_province_count(spark, sf_dir):
-    found = resolve.locate_province(points(spark, sf_dir)).groupBy("province").agg(F.count("*").alias("n"))
+    found = points(spark, sf_dir).select(lookup.province_at(F.col("lat"), F.col("lon")).alias("province")).groupBy("province").agg(F.count("*").alias("n"))
     p = seeds.provinces(spark)
     return p.join(found, p["province_code"] == found["province"], "left").select("ord", "province_code", F.coalesce("n", F.lit(0)).cast("long").alias("n_points")).orderBy("ord")
 
 
 @query(f"WITH {PROVINCE_SQL},{COMMUNE_SQL},{points_sql(True)},{LOCATED_SQL} SELECT l.c_custkey,l.province_code,arg_min(c.code,c.ord) AS commune_code FROM located l LEFT JOIN commune c ON c.province=l.province_code AND l.lon BETWEEN c.w AND c.e AND l.lat BETWEEN c.s AND c.n GROUP BY ALL")
 def point_commune_strip(spark, sf_dir):
-    located = resolve.locate_province(points(spark, sf_dir, True)).withColumnRenamed("province", "province_code")
-    return resolve.locate_commune(located, "province_code").select("c_custkey", "province_code", F.col("poly_commune").alias("commune_code"))
+    located = points(spark, sf_dir, True).withColumn("province_code", lookup.province_at(F.col("lat"), F.col("lon")))
+    return located.select("c_custkey", "province_code", lookup.commune_at(F.col("lat"), F.col("lon"), F.col("province_code")).alias("commune_code"))
 
 
 _RING = [(103.0, 10.0), (108.0, 10.0), (108.0, 14.0), (106.0, 14.0), (106.0, 20.0), (103.0, 20.0), (103.0, 10.0)]
@@ -120,7 +120,8 @@ def point_polygon_raycast(spark, sf_dir):
 
 @query(f"WITH {ZONE_SQL},{points_sql(True)} SELECT p.c_custkey,coalesce(arg_min(z.zone,z.ord),'fallback') AS zone,arg_min(z.current_commune,z.ord) AS current_commune FROM point p LEFT JOIN zone z ON p.lat BETWEEN z.s AND z.n AND p.lon BETWEEN z.w AND z.e GROUP BY ALL".replace("GROUP BY ALL", "GROUP BY p.c_custkey"))
 def zone_lookup_default(spark, sf_dir):
-    return resolve.zone_lookup(points(spark, sf_dir, True)).select("c_custkey", "zone", "current_commune")
+    at = resolve.recorded_zone(F.col("lat"), F.col("lon"))["current"]
+    return points(spark, sf_dir, True).select("c_custkey", at["payload"].alias("zone"), at["commune"].alias("current_commune"))
 
 
 @query("WITH t AS (SELECT o_orderkey, CASE o_orderkey%5 WHEN 0 THEN 'x' WHEN 1 THEN '' ELSE CAST(CAST(o_orderkey%240 AS DOUBLE)-120 AS VARCHAR) END AS raw FROM orders), v AS (SELECT o_orderkey, TRY_CAST(raw AS DOUBLE) AS lat FROM t) SELECT o_orderkey, lat, coalesce(lat BETWEEN -90 AND 90,FALSE) AS valid FROM v")
@@ -164,7 +165,7 @@ KEYS_SQL = f"keyed AS (SELECT 0 AS tier,ord,{norm_sql('name')} AS norm,code FROM
 
 @query(f"WITH {PROVINCE_SQL},{LEGACY_SQL},{NAMES_SQL},{KEYS_SQL} SELECT c_custkey,raw,k.code AS province_code FROM name LEFT JOIN keys k ON k.norm={norm_sql('raw')}")
 def province_crosswalk(spark, sf_dir):
-    return resolve.province_by_name(names(spark, sf_dir), "raw", "province_code").select("c_custkey", "raw", "province_code")
+    return names(spark, sf_dir).select("c_custkey", "raw", lookup.province_of_name(F.col("raw")).alias("province_code"))
 
 
 @query(f"WITH {PROVINCE_SQL},{COMMUNE_SQL},a AS (SELECT 'province' AS entity_type,code AS entity_code,name AS raw_name FROM province UNION ALL SELECT 'province',code,unnest(aliases) FROM province UNION ALL SELECT 'commune',code,name FROM commune UNION ALL SELECT 'commune',code,unnest(aliases) FROM commune) SELECT *,{norm_sql('raw_name')} AS normalized_name FROM a")
@@ -182,8 +183,8 @@ coalesce(CASE WHEN min(bt) IS NULL THEN string_agg(code,',' ORDER BY ord) FILTER
 
 @query(f"WITH {COMMUNE_SQL},{NAMES_SQL},ask AS (SELECT c_custkey,province,{norm_sql('raw')} AS norm FROM name),{LADDER_SQL} SELECT * FROM ladder")
 def commune_ladder(spark, sf_dir):
-    found = resolve.commune_ladder(names(spark, sf_dir), "c_custkey", "province", "raw")
-    return found.select("c_custkey", "province", "tier", "matched", F.array_join("alternatives", ",").alias("alternatives"))
+    found = names(spark, sf_dir).withColumn("x", lookup.commune_ladder(F.col("province"), F.col("raw")))
+    return found.select("c_custkey", "province", "x.tier", F.col("x.match").alias("matched"), F.array_join(F.transform("x.alternatives", lambda a: a["commune_code"]), ",").alias("alternatives"))
 
 
 _TRIPLES = [("Phường Phú Hòa", None, None), ("phường phú hòa", "Quận 1", None), ("Thị xã Hương Thủy", "bất kỳ", "Huế"), (None, "x", "y"), ("Phường Bến Nghé", "Quận 1", ""), ("Phường 1", None, "Sóc Trăng"), ("Phường Hòa Hải", "", "Hà Nội")]
@@ -193,10 +194,9 @@ _LOOSE = lambda a, b: f"({norm_sql(a)}='' OR {norm_sql(b)}='' OR {norm_sql(a)}={
 
 @query(f"WITH {LEGACY_COMMUNE_SQL},{_TRIPLE_SQL},x AS (SELECT t.i,arg_min(m.code,m.ord) AS crosswalk FROM triple t LEFT JOIN legacy_commune m ON m.is_default AND {norm_sql('t.c')}<>'' AND {norm_sql('t.c')}={norm_sql('m.commune')} AND {_LOOSE('t.d', 'm.district')} AND {_LOOSE('t.p', 'm.province')} GROUP BY t.i) SELECT c_custkey,x.crosswalk FROM customer JOIN x ON x.i=c_custkey%{len(_TRIPLES)}")
 def legacy_commune_crosswalk(spark, sf_dir):
-    t = spark.createDataFrame([(i, *t) for i, t in enumerate(_TRIPLES)], "i long, c string, d string, p string")
-    x = resolve.legacy_crosswalk(t, "c", "d", "p")
-    c = rows(spark, sf_dir, "customer").select("c_custkey")
-    return c.join(F.broadcast(x), c["c_custkey"] % len(_TRIPLES) == x["i"]).select("c_custkey", "crosswalk")
+    k = (F.col("c_custkey") % len(_TRIPLES)).cast("int")
+    part = lambda j: F.get(F.array(*[F.lit(t[j]).cast("string") for t in _TRIPLES]), k)
+    return rows(spark, sf_dir, "customer").select("c_custkey", lookup.legacy_crosswalk(part(0), part(1), part(2)).alias("crosswalk"))
 
 
 @query(f"""WITH {PROVINCE_SQL},{COMMUNE_SQL},{LEGACY_SQL},{LEGACY_COMMUNE_SQL},{ZONE_SQL},{KEYS_SQL},{points_sql(True)},{LOCATED_SQL},
@@ -207,7 +207,7 @@ ask AS (SELECT c_custkey,province,{norm_sql('cc')} AS norm FROM h),{LADDER_SQL},
 lx AS (SELECT h.c_custkey,arg_min(m.code,m.ord) AS crosswalk FROM h LEFT JOIN legacy_commune m ON m.is_default AND {norm_sql('h.lc')}<>'' AND {norm_sql('h.lc')}={norm_sql('m.commune')} AND {_LOOSE('h.ld', 'm.district')} AND {_LOOSE('h.lp', 'm.province')} GROUP BY h.c_custkey)
 SELECT h.c_custkey,h.province AS province_code,CASE WHEN valid THEN coalesce(matched,CASE WHEN cc IS NULL THEN poly END,crosswalk) END AS commune_code,CASE WHEN NOT valid THEN 'error' WHEN h.province IS NULL THEN 'low' WHEN matched IS NOT NULL THEN 'high' WHEN (cc IS NULL AND poly IS NOT NULL) OR cc IS NOT NULL THEN 'medium' ELSE 'low' END AS confidence,poly IS NOT NULL AS polygon_commune,valid AND matched IS NULL AND NOT (cc IS NULL AND poly IS NOT NULL) AND crosswalk IS NOT NULL AS crosswalk_used,coalesce(pp<>np,FALSE) AS conflict FROM h JOIN pc USING (c_custkey) JOIN ladder USING (c_custkey) JOIN lx USING (c_custkey)""")
 def resolve_confidence(spark, sf_dir):
-    return resolve.resolve(points(spark, sf_dir, True)).select("c_custkey", "province_code", "commune_code", "confidence", "polygon_commune", "crosswalk_used", "conflict")
+    return resolve.flat(resolve.resolve(points(spark, sf_dir, True))).select("c_custkey", "province_code", "commune_code", "confidence", "polygon_commune", "crosswalk_used", "conflict")
 
 
 _ADDRESSES = ["134 Đường Phú Lợi, phường Phú Hòa, thành phố Thủ Dầu Một, tỉnh Bình Dương", "Quận 1, Thành phố Hồ Chí Minh", "thành phố Huế, thành phố Đà Nẵng", "đặc khu Phú Quốc, An Giang", "xã Hòa Vang, huyện Hòa Vang, thành phố Đà Nẵng", ""]
@@ -271,7 +271,7 @@ def format_vi_number(spark, sf_dir):
     return rows(spark, sf_dir, "orders").select("o_orderkey", numeric.format_vi(F.col("o_orderkey") * 1237, 0).alias("shown"))
 
 
-@query("SELECT page_id,md5(trim(regexp_replace(replace(regexp_replace(regexp_replace(regexp_replace(html,'<!--[^\\n]*?-->','','g'),'<[bB][rR] */?>',chr(10),'g'),'<[^>]+>',' ','g'),'&nbsp;',' '),'[ \\t\\n\\r\\f]+',' ','g'))) AS text_md5 FROM pages")
+@query("SELECT page_id,md5(trim(regexp_replace(replace(regexp_replace(regexp_replace(regexp_replace(html,'<!--[^\\n\\r]*?-->',' ','g'),'<[bB][rR]\\s*/?>',chr(10),'g'),'<[^>]+>',' ','g'),'&nbsp;',' '),'[\\s\\x{00A0}\\x{FEFF}\\x{2000}-\\x{200A}\\x{2028}\\x{2029}\\x{202F}\\x{205F}\\x{3000}]+',' ','g'))) AS text_md5 FROM pages")
 def html_clean(spark, sf_dir):
     return rows(spark, sf_dir, "pages").select("page_id", F.md5(text.clean_html(F.col("html"))).alias("text_md5"))
 

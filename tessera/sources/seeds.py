@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 # Province code, name, kind, aliases, west, south, east, north.
@@ -43,6 +45,112 @@ PROVINCES = [
     ("an-giang", "An Giang", "province", ["Kien Giang", "Tinh An Giang"], 104.35, 9.78, 105.05, 10.72),
 ]
 
+# Description of each province, in the order above.
+DESCRIPTIONS = [
+    "Thủ đô và trung tâm chính trị, hành chính của cả nước.",
+    "Thành phố di sản ở khu vực miền Trung.",
+    "Tỉnh ven biển Đông Bắc, nổi bật với Vịnh Hạ Long và kinh tế cửa khẩu.",
+    "Tỉnh miền núi biên giới ở phía Bắc.",
+    "Tỉnh biên giới phía Bắc, giữ vai trò kết nối thương mại quan trọng.",
+    "Tỉnh miền núi Tây Bắc với địa hình đồi núi đặc trưng.",
+    "Tỉnh biên giới Tây Bắc gắn với các giá trị lịch sử và văn hóa đặc sắc.",
+    "Tỉnh miền núi Tây Bắc có không gian nông nghiệp và du lịch sinh thái rộng lớn.",
+    "Tỉnh Bắc Trung Bộ có quy mô dân số, diện tích và hạ tầng kết nối lớn.",
+    "Tỉnh Bắc Trung Bộ có diện tích lớn và vai trò kết nối liên vùng quan trọng.",
+    "Tỉnh Bắc Trung Bộ với thế mạnh công nghiệp, cảng biển và kết nối Bắc - Nam.",
+    "Tỉnh Tuyên Quang sau sắp xếp, bao gồm không gian Tuyên Quang và Hà Giang trước đây.",
+    "Tỉnh Lào Cai sau sắp xếp, bao gồm không gian Lào Cai và Yên Bái trước đây.",
+    "Tỉnh Thái Nguyên sau sắp xếp, bao gồm không gian Thái Nguyên và Bắc Kạn trước đây.",
+    "Tỉnh Phú Thọ sau sắp xếp, bao gồm không gian Phú Thọ, Vĩnh Phúc và Hòa Bình trước đây.",
+    "Tỉnh Bắc Ninh sau sắp xếp, bao gồm không gian Bắc Ninh và Bắc Giang trước đây.",
+    "Tỉnh Hưng Yên sau sắp xếp, bao gồm không gian Hưng Yên và Thái Bình trước đây.",
+    "Thành phố Hải Phòng sau sắp xếp, bao gồm không gian Hải Phòng và Hải Dương trước đây.",
+    "Tỉnh Ninh Bình sau sắp xếp, bao gồm không gian Ninh Bình, Hà Nam và Nam Định trước đây.",
+    "Tỉnh Quảng Trị sau sắp xếp, bao gồm không gian Quảng Trị và Quảng Bình trước đây.",
+    "Thành phố Đà Nẵng sau sắp xếp, bao gồm không gian Đà Nẵng và Quảng Nam trước đây.",
+    "Tỉnh Quảng Ngãi sau sắp xếp, bao gồm không gian Quảng Ngãi và Kon Tum trước đây.",
+    "Tỉnh Gia Lai sau sắp xếp, bao gồm không gian Gia Lai và Bình Định trước đây.",
+    "Tỉnh Khánh Hòa sau sắp xếp, bao gồm không gian Khánh Hòa và Ninh Thuận trước đây.",
+    "Tỉnh Lâm Đồng sau sắp xếp, bao gồm không gian Lâm Đồng, Đắk Nông và Bình Thuận trước đây.",
+    "Tỉnh Đắk Lắk sau sắp xếp, bao gồm không gian Đắk Lắk và Phú Yên trước đây.",
+    "Thành phố Hồ Chí Minh sau sắp xếp, bao gồm không gian Thành phố Hồ Chí Minh, Bình Dương và Bà Rịa - Vũng Tàu trước đây.",
+    "Tỉnh Đồng Nai sau sắp xếp, bao gồm không gian Đồng Nai và Bình Phước trước đây.",
+    "Tỉnh Tây Ninh sau sắp xếp, bao gồm không gian Tây Ninh và Long An trước đây.",
+    "Thành phố Cần Thơ sau sắp xếp, bao gồm không gian Cần Thơ, Sóc Trăng và Hậu Giang trước đây.",
+    "Tỉnh Vĩnh Long sau sắp xếp, bao gồm không gian Vĩnh Long, Bến Tre và Trà Vinh trước đây.",
+    "Tỉnh Đồng Tháp sau sắp xếp, bao gồm không gian Đồng Tháp và Tiền Giang trước đây.",
+    "Tỉnh Cà Mau sau sắp xếp, bao gồm không gian Cà Mau và Bạc Liêu trước đây.",
+    "Tỉnh An Giang sau sắp xếp, bao gồm không gian An Giang và Kiên Giang trước đây.",
+]
+
+# Names of the former 63 provinces, current province code.
+FORMER_NAMES = [
+    ("Hà Nội", "hanoi"),
+    ("Thừa Thiên - Huế", "hue"),
+    ("Quảng Ninh", "quang-ninh"),
+    ("Cao Bằng", "cao-bang"),
+    ("Lạng Sơn", "lang-son"),
+    ("Lai Châu", "lai-chau"),
+    ("Điện Biên", "dien-bien"),
+    ("Sơn La", "son-la"),
+    ("Thanh Hóa", "thanh-hoa"),
+    ("Nghệ An", "nghe-an"),
+    ("Hà Tĩnh", "ha-tinh"),
+    ("Tuyên Quang", "tuyen-quang"),
+    ("Hà Giang", "tuyen-quang"),
+    ("Lào Cai", "lao-cai"),
+    ("Yên Bái", "lao-cai"),
+    ("Thái Nguyên", "thai-nguyen"),
+    ("Bắc Kạn", "thai-nguyen"),
+    ("Phú Thọ", "phu-tho"),
+    ("Vĩnh Phúc", "phu-tho"),
+    ("Hòa Bình", "phu-tho"),
+    ("Bắc Ninh", "bac-ninh"),
+    ("Bắc Giang", "bac-ninh"),
+    ("Hưng Yên", "hung-yen"),
+    ("Thái Bình", "hung-yen"),
+    ("Hải Phòng", "hai-phong"),
+    ("Hải Dương", "hai-phong"),
+    ("Ninh Bình", "ninh-binh"),
+    ("Hà Nam", "ninh-binh"),
+    ("Nam Định", "ninh-binh"),
+    ("Quảng Trị", "quang-tri"),
+    ("Quảng Bình", "quang-tri"),
+    ("Đà Nẵng", "da-nang"),
+    ("Quảng Nam", "da-nang"),
+    ("Quảng Ngãi", "quang-ngai"),
+    ("Kon Tum", "quang-ngai"),
+    ("Gia Lai", "gia-lai"),
+    ("Bình Định", "gia-lai"),
+    ("Khánh Hòa", "khanh-hoa"),
+    ("Ninh Thuận", "khanh-hoa"),
+    ("Lâm Đồng", "lam-dong"),
+    ("Đăk Nông", "lam-dong"),
+    ("Bình Thuận", "lam-dong"),
+    ("Đắk Lắk", "dak-lak"),
+    ("Phú Yên", "dak-lak"),
+    ("Hồ Chí Minh City", "ho-chi-minh-city"),
+    ("Hồ Chí Minh city", "ho-chi-minh-city"),
+    ("Bình Dương", "ho-chi-minh-city"),
+    ("Bà Rịa - Vũng Tàu", "ho-chi-minh-city"),
+    ("Đồng Nai", "dong-nai"),
+    ("Bình Phước", "dong-nai"),
+    ("Tây Ninh", "tay-ninh"),
+    ("Long An", "tay-ninh"),
+    ("Cần Thơ", "can-tho"),
+    ("Sóc Trăng", "can-tho"),
+    ("Hậu Giang", "can-tho"),
+    ("Vĩnh Long", "vinh-long"),
+    ("Bến Tre", "vinh-long"),
+    ("Trà Vinh", "vinh-long"),
+    ("Đồng Tháp", "dong-thap"),
+    ("Tiền Giang", "dong-thap"),
+    ("Cà Mau", "ca-mau"),
+    ("Bạc Liêu", "ca-mau"),
+    ("An Giang", "an-giang"),
+    ("Kiên Giang", "an-giang"),
+]
+
 # Commune code, name, type, province code, aliases.
 COMMUNES = [
     ("hanoi-ba-dinh", "phường Ba Đình", "phuong", "hanoi", ["Ba Dinh Ward", "Phuong Ba Dinh"]),
@@ -105,7 +213,8 @@ def _frame(spark: SparkSession, rows: list[tuple], schema: str) -> DataFrame:
 
 
 def provinces(spark: SparkSession) -> DataFrame:
-    return _frame(spark, [(i, *p) for i, p in enumerate(PROVINCES, 1)], "ord int, province_code string, province_name string, province_kind string, aliases array<string>, west double, south double, east double, north double")
+    rows = [(i, f"p-{i:03d}", *p, d) for i, (p, d) in enumerate(zip(PROVINCES, DESCRIPTIONS, strict=True), 1)]
+    return _frame(spark, rows, "ord int, province_id string, province_code string, province_name string, province_kind string, aliases array<string>, west double, south double, east double, north double, description string")
 
 
 def communes(spark: SparkSession) -> DataFrame:
@@ -124,8 +233,39 @@ def zones(spark: SparkSession) -> DataFrame:
     return _frame(spark, [(i, *z) for i, z in enumerate(ZONES, 1)], "ord int, zone string, lat_min double, lat_max double, lon_min double, lon_max double, current_commune string, current_province string, legacy_commune string, legacy_district string, legacy_province string")
 
 
-def checked_provinces(spark: SparkSession) -> DataFrame:
-    """The provinces; the job fails unless there are 34, each with a code and a name."""
-    rows = provinces(spark)
-    sound = rows.agg((F.count("*") == 34).alias("n"), F.min((F.col("province_code") != "") & (F.col("province_name") != "")).alias("named"))
-    return rows.crossJoin(F.broadcast(sound)).where(F.assert_true(F.col("n") & F.col("named"), "34 named provinces are needed").isNull()).drop("n", "named")
+def former_names(spark: SparkSession) -> DataFrame:
+    return _frame(spark, FORMER_NAMES, "name string, province_code string")
+
+
+def _checked(rows: DataFrame, sound: Column, need: str) -> DataFrame:
+    """rows, if an aggregate over them is true; a check at load, as the tables are small."""
+    if not rows.agg(F.coalesce(sound, F.lit(False))).first()[0]:
+        raise ValueError(need)
+    return rows
+
+
+def _filled(*columns: str) -> Column:
+    return F.min(reduce(lambda a, b: a & b, [F.coalesce(F.col(c), F.lit("")) != "" for c in columns]))
+
+
+def _boxed() -> Column:
+    return F.min(reduce(lambda a, b: a & b, [F.col(c).isNotNull() for c in ("west", "south", "east", "north")]))
+
+
+def checked_provinces(rows: DataFrame | SparkSession) -> DataFrame:
+    """The provinces, of which there must be 34, each with a code, a name and a box."""
+    rows = rows if isinstance(rows, DataFrame) else provinces(rows)
+    return _checked(rows, (F.count("*") == 34) & _filled("province_code", "province_name") & _boxed(), "34 provinces with code, name and box are needed")
+
+
+def checked_communes(rows: DataFrame | SparkSession) -> DataFrame:
+    """The communes, of which there must be some, each with a code, a province and a box."""
+    rows = rows if isinstance(rows, DataFrame) else communes(rows)
+    return _checked(rows, _filled("commune_code", "province_code") & _boxed(), "communes with code, province and box are needed")
+
+
+def checked_features(features: DataFrame, n: int | None = 34) -> DataFrame:
+    """Features, a row each with their collection's type in `collection`, which must be FeatureCollection; there must be
+    n of them, or some."""
+    right = F.count("*") > 0 if n is None else F.count("*") == n
+    return _checked(features, right & F.min(F.col("collection") == "FeatureCollection"), f"a FeatureCollection of {n or 'some'} features is needed")
