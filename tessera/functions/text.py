@@ -127,7 +127,7 @@ def section_paragraph(c: Column, heading: Column | str) -> Column:
         raw = first_match(c, rf"<h3[^>]*>{_quoted(heading)}</h3><p>([^\n\r\u2028\u2029]*?)</p>")
     else:
         pattern = F.concat(F.lit(r"<h3[^>]*>\Q"), heading, F.lit(r"\E</h3><p>([^\n\r\u2028\u2029]*?)</p>"))
-        raw = F.when(F.regexp_like(c, pattern), collapse_ends(F.regexp_extract(c, pattern, 1)))
+        raw = F.when(F.regexp_like(c, pattern), collapse_ends(F.call_function("regexp_extract", c, pattern, F.lit(1))))
     return F.when(raw != "", clean_html(raw))
 
 
@@ -201,3 +201,36 @@ def strip_bom(c: Column) -> Column:
 
 def camel_split(c: Column) -> Column:
     return F.regexp_replace(c, "([a-z])([A-Z])", "$1 $2")
+
+
+def encode_component(c: Column) -> Column:
+    """Percent-encoded, as one component of an address."""
+    out = F.replace(F.url_encode(c), F.lit("+"), F.lit("%20"))
+    for code, mark in (("%21", "!"), ("%27", "'"), ("%28", "("), ("%29", ")"), ("%7E", "~")):
+        out = F.replace(out, F.lit(code), F.lit(mark))
+    return out
+
+
+def with_query(address: Column, **values: Column) -> Column:
+    """An address with its query."""
+    pairs = [F.concat(F.lit(k + "="), encode_component(v)) for k, v in values.items()]
+    return F.concat(address, F.lit("?"), F.concat_ws("&", *pairs))
+
+
+def object_or_null(doc: Column) -> Column:
+    """A VARIANT if it is an object."""
+    return F.when(F.schema_of_variant(doc).startswith("OBJECT"), doc)
+
+
+def array_or_empty(doc: Column) -> Column:
+    """The items of a VARIANT if it is an array, else none."""
+    return F.coalesce(F.try_variant_get(doc, "$", "array<variant>"), F.array().cast("array<variant>"))
+
+
+def iso_now() -> Column:
+    """The time of the query as an ISO stamp in UTC."""
+    return F.date_format(F.to_utc_timestamp(F.current_timestamp(), F.current_timezone()), "yyyy-MM-dd'T'HH:mm:ss.SSS'Z'")
+
+
+def iso_today() -> Column:
+    return F.left(iso_now(), F.lit(10))

@@ -2,7 +2,7 @@ import duckdb
 import pytest
 from pyspark.sql import functions as F
 
-from tessera import catalogue
+from tessera import catalogue, catalogue_etl, plans  # noqa: F401
 from tessera.functions import lookup, numeric, text
 from tessera.operators import address, profile, resolve
 from tessera.sources import seeds
