@@ -13,7 +13,7 @@ from tessera.llm.cluster import cut, table
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose text has a language; the network is fitted to the labels of these documents."""
+    """Documents to whose text the network, fitted to the labels of these documents, gives a language."""
     return language.keep(docs, language.fit(docs))
 
 
@@ -28,7 +28,7 @@ def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of the documents in training sequences."""
+    """Pieces of the documents in training sequences of at most 1024 tokens and 8 segments."""
     return packing.pack(docs)
 
 
