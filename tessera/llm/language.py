@@ -35,7 +35,7 @@ WINDOW = 256
 #: Bounds of the training sample.
 LANGUAGES, PER_LANGUAGE, WINDOWS_EACH = 200, 800, 2
 #: Least share of a text's distribution for its best language in `keep`: below it the network knows no language for the text.
-LEAST = 0.4
+LEAST = 0.35
 WIDTHS, FILTERS, DIMS = (2, 3, 4), 12, 8
 EPOCHS, BATCH, RATE, SEED = 12, 128, 0.01, 7
 
