@@ -364,5 +364,5 @@ _PROFILES = [(True, "1", 21.02, 8435700.0, 3), (False, None, None, None, 0), (Tr
 def json_profile_fields(spark, sf_dir):
     raw = F.get(F.array(*[F.lit(d) for d in _DOCUMENTS]), (F.col("c_custkey") % len(_DOCUMENTS)).cast("int"))
     name = F.col("c_custkey").cast("string")
-    docs = rows(spark, sf_dir, "customer").select(name.alias("file_name"), name.alias("name_key"), F.try_parse_json(text.strip_bom(raw)).alias("doc"))
+    docs = rows(spark, sf_dir, "customer").select(name.alias("file_name"), name.alias("name_key"), text.strict_json(text.strip_bom(raw)).alias("doc"))
     return profile.profile(docs).select(F.col("file_name").cast("long").alias("c_custkey"), "has_profile", "administrative_code", "latitude", "population", F.size("infrastructure").alias("n_infrastructure"))

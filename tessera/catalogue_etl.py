@@ -582,3 +582,32 @@ def enrichment_of_first_files(spark, sf_dir):
 def response_bodies(spark, sf_dir):
     body = files.response(F.lit(200), F.struct(F.concat(F.lit("<"), F.replace("url", F.lit("."), F.lit("")), F.lit(">")).alias("url")))
     return rows(spark, sf_dir, "pages").select("page_id", F.md5(F.get_json_object(body["body"], "$.url")).alias("shown_md5"))
+
+
+# ---- forms of the tables' own values ----
+
+
+@query("SELECT o_orderkey,round(o_totalprice,2) AS number FROM orders")
+def numbers_as_shown_and_read(spark, sf_dir):
+    shown_ = numeric.format_vi(F.col("o_totalprice"), 2)
+    return rows(spark, sf_dir, "orders").select("o_orderkey", numeric.parse_numeric(shown_, True).alias("number"))
+
+
+@query("SELECT c_custkey,CASE WHEN c_custkey%4<>0 THEN 'phường '||c_name END AS commune,CASE WHEN c_custkey%3<>0 THEN 'Huyện  '||c_mktsegment END AS district,CASE WHEN c_custkey%5=0 THEN 'thành phố '||n_name ELSE 'Tỉnh '||n_name END AS province FROM customer JOIN nation ON n_nationkey=c_nationkey")
+def address_parts(spark, sf_dir):
+    c, n = rows(spark, sf_dir, "customer"), F.broadcast(rows(spark, sf_dir, "nation"))
+    where = F.when(key() % 5 == 0, F.concat(F.lit("thành phố "), "n_name")).otherwise(F.concat(F.lit("thành phố X, Tỉnh "), "n_name"))
+    written = F.concat_ws(", ", F.lit("Số 1 phường Y"), F.when(key() % 4 != 0, F.concat(F.lit("phường "), "c_name")), F.when(key() % 3 != 0, F.concat(F.lit("Huyện  "), "c_mktsegment")), where, F.lit("Việt Nam"))
+    found = c.join(n, c["c_nationkey"] == n["n_nationkey"]).select("c_custkey", address.parts(address.split_terms(written)).alias("x"))
+    return found.select("c_custkey", "x.*")
+
+
+@query("SELECT s_suppkey,s_name AS administrative_code,CASE WHEN s_suppkey%4<>0 THEN s_acctbal END AS population,CASE WHEN s_suppkey%3=0 THEN 2 ELSE 1 END AS n_infrastructure,s_suppkey%7<>6 AS has_profile FROM supplier WHERE s_suppkey%7<>6 UNION ALL SELECT s_suppkey,NULL,NULL,0,FALSE FROM supplier WHERE s_suppkey%7=6")
+def profile_documents(spark, sf_dir):
+    k = F.col("s_suppkey")
+    leaf = lambda v: F.struct(v.alias("value"))
+    doc = F.struct(leaf(F.col("s_name")).alias("administrative_code"), F.struct(leaf(F.when(k % 4 != 0, F.col("s_acctbal"))).alias("total")).alias("population"), F.struct(leaf(F.when(k % 3 == 0, F.array(F.lit("cảng")))).alias("seaport"), leaf(F.array(F.col("s_name"))).alias("airport")).alias("infrastructure"))
+    written = F.when(k % 7 == 6, F.concat(F.to_json(doc), F.lit("}"))).otherwise(F.concat(F.lit("\ufeff"), F.to_json(doc)))
+    name = k.cast("string")
+    docs = rows(spark, sf_dir, "supplier").select(name.alias("file_name"), name.alias("name_key"), text.strict_json(text.strip_bom(written)).alias("doc"))
+    return profile.profile(docs).select(F.col("file_name").cast("long").alias("s_suppkey"), "administrative_code", "population", F.size("infrastructure").alias("n_infrastructure"), "has_profile")

@@ -217,6 +217,12 @@ def with_query(address: Column, **values: Column) -> Column:
     return F.concat(address, F.lit("?"), F.concat_ws("&", *pairs))
 
 
+def strict_json(c: Column) -> Column:
+    """A whole text as VARIANT, or null if it is not one JSON value; Spark's parser alone lets anything follow a value."""
+    items = F.try_variant_get(F.try_parse_json(F.concat(F.lit("["), c, F.lit("]"))), "$", "array<variant>")
+    return F.when(F.size(items) == 1, F.get(items, F.lit(0)))
+
+
 def object_or_null(doc: Column) -> Column:
     """A VARIANT if it is an object."""
     return F.when(F.schema_of_variant(doc).startswith("OBJECT"), doc)

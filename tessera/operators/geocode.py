@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from tessera.functions.lookup import let
 from tessera.functions.text import blank_as_null, first_non_blank, name_matches
 from tessera.operators.address import parts
-from tessera.operators.resolve import free_name
+from tessera.operators.resolve import free_name, recorded_zone, resolution
 
 CANDIDATE = "struct<formatted_address:string,commune:string,district:string,province:string,provider_name:string,payload:string>"
 #: What is recorded where a call failed without a message.
@@ -168,3 +168,95 @@ def recorded(requests: DataFrame, answers: DataFrame, key: str, out: str) -> Dat
     none = F.struct(F.lit(None).cast("string").alias("payload"), F.lit(UNKNOWN_REASON).alias("error"))
     rows = requests.select(F.struct("*").alias("_row"), F.col(key).alias("_k")).join(own, F.col("_k") == F.col("_key"), "left")
     return rows.select("_row.*", F.coalesce("_answer", none).alias(free_name(requests, out)))
+
+
+class Provider:
+    """A geocoding service: `name`, and `bundles` that gives points their answers.
+
+    Subclass it for a live service, with a mapInPandas over the points inside `bundles`; the ones here are recorded."""
+
+    name = "none"
+
+    def bundles(self, points: DataFrame, key: str) -> DataFrame:
+        """points with `bundle` (null after an error) and `error`, under names that points does not have."""
+        raise NotImplementedError
+
+
+def _answered(points: DataFrame, bundle_: Column, error: Column) -> DataFrame:
+    return points.withColumns({free_name(points, "bundle"): bundle_, free_name(points, "error"): error})
+
+
+class RecordedZones(Provider):
+    """The zones' answers, by the columns lat and lon."""
+
+    name = "mock"
+
+    def bundles(self, points: DataFrame, key: str) -> DataFrame:
+        return _answered(points, recorded_zone(F.col("lat"), F.col("lon")).cast(f"struct<current:{CANDIDATE},legacy:{CANDIDATE}>"), F.lit(None).cast("string"))
+
+
+class RecordedAddresses(Provider):
+    """Answers with an address object: key, payload, error."""
+
+    name = "nominatim"
+
+    def __init__(self, answers: DataFrame):
+        self.answers = answers
+
+    def bundles(self, points: DataFrame, key: str) -> DataFrame:
+        out = free_name(points, "_answer")
+        rows = recorded(points, self.answers, key, out)
+        a = F.col(out)
+        failed = json_error(F.try_parse_json(a["payload"]), a["payload"], a["error"])
+        return _answered(rows, F.when(failed.isNull(), address_bundle(a["payload"], self.name)), failed).drop(out)
+
+
+class RecordedComponents(Provider):
+    """Answers with address components, and the autocomplete answers for their addresses: key, payload, error each."""
+
+    name = "openmap"
+
+    def __init__(self, answers: DataFrame, predictions: DataFrame):
+        self.answers, self.predictions = answers, predictions
+
+    def bundles(self, points: DataFrame, key: str) -> DataFrame:
+        first, second = free_name(points, "_answer"), free_name(points, "_prediction")
+        rows = recorded(recorded(points, self.answers, key, first), self.predictions, key, second)
+        a, p = F.col(first), F.col(second)
+        failed = F.coalesce(a["error"], F.when(F.try_parse_json(a["payload"]).isNull(), UNKNOWN_REASON))
+        return _answered(rows, F.when(failed.isNull(), component_bundle(a["payload"], first_prediction(p["payload"], p["error"]))), failed).drop(first, second)
+
+
+class Fallback(Provider):
+    """The primary's answer or, after an error, the secondary's with the reason in its current payload."""
+
+    name = "openmap-with-fallback"
+
+    def __init__(self, primary: Provider, secondary: Provider):
+        self.primary, self.secondary = primary, secondary
+
+    def bundles(self, points: DataFrame, key: str) -> DataFrame:
+        row = free_name(points, "_row")
+        one = self.primary.bundles(points, key)
+        two = one.select(F.struct(*points.columns).alias(row), *points.columns, *[F.col(c).alias(f"_{i}") for i, c in enumerate(one.columns[len(points.columns) :])])
+        both = self.secondary.bundles(two, key)
+        b, e = both.columns[-2:]
+        failed = F.col("_1").isNotNull()
+        reasoned = F.col(b).withField("current.payload", F.to_json(F.struct(F.col(b)["current"]["payload"].alias("answer"), F.col("_1").alias("fallback_reason"))))
+        return both.select(f"{row}.*", F.when(failed, reasoned).otherwise(F.col("_0")).alias(free_name(points, "bundle")), F.when(failed, F.col(e)).alias(free_name(points, "error")))
+
+
+def resolve_with(provider: Provider, points: DataFrame, key: str, out: str = "resolution") -> DataFrame:
+    """points resolved by a provider's answers; where it failed, `error` says why and the rest is null."""
+    rows = provider.bundles(points, key)
+    b, e = F.col(rows.columns[-2]), F.col(rows.columns[-1])
+    r = resolution(F.col("lat"), F.col("lon"), b, provider.name)
+    return rows.select(*points.columns, F.when(e.isNull(), r).otherwise(failure(r, e)).alias(free_name(points, out)))
+
+
+def failure(like: Column, error: Column) -> Column:
+    """A response that holds an error alone."""
+    blank = like.withField("error", F.coalesce(like["error"], error))
+    for field in ("normalized", "legacy_match", "current_match", "alternatives", "confidence", "resolution_path", "debug"):
+        blank = blank.withField(field, F.when(F.lit(False), like[field]))
+    return blank

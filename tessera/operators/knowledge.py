@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessera.functions.text import name_of_file
+from tessera.functions.text import name_of_file, strict_json, strip_bom
 
 # The three texts that an answer must have.
 ANSWER = ["tinh_hinh_rung", "tinh_hinh_bien", "o_nhiem_tong_hop"]
@@ -49,7 +49,7 @@ def enrich(documents: DataFrame, answers: DataFrame, stamp: Column | None = None
     own = answers.select(F.col("file_name").alias("_file"), F.col("answer").alias("_answer"))
     rows = rows.join(own, F.col("file_name") == F.col("_file"), "left").withColumn("_read", read_answer(F.col("_answer")))
     stamp = F.date_format(F.current_timestamp(), "yyyy-MM-dd'T'HH:mm:ss.SSS'Z'") if stamp is None else stamp
-    old = F.from_json(F.to_json(F.try_parse_json(F.regexp_replace("doc", "^﻿", ""))), "map<string,variant>")
+    old = F.from_json(F.to_json(strict_json(strip_bom(F.col("doc")))), "map<string,variant>")
     data = F.struct(stamp.alias("last_updated"), *[F.col("_read")[c].alias(c) for c in ANSWER])
     extra = F.from_json(F.to_json(F.struct(data.alias("environmental_data"))), "map<string,variant>")
     error = F.when(old.isNull(), "document is not JSON").when(F.col("_answer").isNull(), "no answer").when(F.col("_read").isNull(), "answer is not sound")

@@ -6,14 +6,14 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tessera.functions.numeric import parse_numeric
-from tessera.functions.text import camel_split, normalize_admin_name, normalize_search, strip_bom
+from tessera.functions.text import camel_split, normalize_admin_name, normalize_search, strict_json, strip_bom
 
 
 def read_documents(spark: SparkSession, folder: str) -> DataFrame:
     """name_key, doc (VARIANT, null if malformed) of each JSON file; byte-order marks are dropped."""
     files = spark.read.option("wholetext", True).option("pathGlobFilter", "*.json").text(folder).select("value", F.col("_metadata.file_name").alias("file_name"))
     stem = F.regexp_replace("file_name", r"\.json$", "")
-    return files.select("file_name", normalize_admin_name(camel_split(stem)).alias("name_key"), F.try_parse_json(strip_bom(F.col("value"))).alias("doc"))
+    return files.select("file_name", normalize_admin_name(camel_split(stem)).alias("name_key"), strict_json(strip_bom(F.col("value"))).alias("doc"))
 
 
 def leaf(doc: Column, path: str, kind: str = "string") -> Column:

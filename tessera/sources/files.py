@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.functions import geo
+from tessera.functions.text import strict_json
 from tessera.operators.knowledge import knowledge_part
 from tessera.sources import seeds
 
@@ -28,7 +29,7 @@ def geometry_of(g: Column) -> Column:
 
 def features_of(texts: DataFrame, text: str = "value") -> DataFrame:
     """A row for each feature of GeoJSON texts: collection (its type), ord, properties (VARIANT), geometry."""
-    doc = F.try_parse_json(F.col(text))
+    doc = strict_json(F.col(text))
     rows = texts.select(F.try_variant_get(doc, "$.type", "string").alias("collection"), F.posexplode(F.try_variant_get(doc, "$.features", "array<variant>")).alias("ord", "f"))
     return rows.select("collection", "ord", F.try_variant_get("f", "$.properties", "variant").alias("properties"), geometry_of(F.try_variant_get("f", "$.geometry", "variant")).alias("geometry"))
 
@@ -81,7 +82,7 @@ def write_table(rows: DataFrame, path: str, *by: str) -> None:
 
 def read_elements(spark: SparkSession, path: str) -> DataFrame:
     """Elements of a saved map query: ord, name_vi, name, lat, lon."""
-    doc = F.try_parse_json("value")
+    doc = strict_json(F.col("value"))
     rows = spark.read.text(path, wholetext=True).select(F.posexplode(F.coalesce(F.try_variant_get(doc, "$.elements", "array<variant>"), F.array().cast("array<variant>"))).alias("ord", "e"))
     get = lambda p, kind="string": F.try_variant_get("e", p, kind)
     return rows.select("ord", get("$.tags['name:vi']").alias("name_vi"), get("$.tags.name").alias("name"), get("$.center.lat", "double").alias("lat"), get("$.center.lon", "double").alias("lon"))

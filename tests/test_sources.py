@@ -181,3 +181,41 @@ def test_first_case_keeps_list_order(spark):
     df = spark.createDataFrame([(10.9, 106.9)], "lat double, lon double")
     boxes = [p[0] for p in seeds.PROVINCES if p[4] <= 106.9 <= p[6] and p[5] <= 10.9 <= p[7]]
     assert df.select(lookup.province_at(F.col("lat"), F.col("lon"))).first()[0] == boxes[0]
+
+
+def test_refresh_by_versions(spark, tmp_path):
+    from tessera.streaming.refresh import current, refresh
+
+    sound = lambda x: '{"tinh_hinh_rung":"%s","tinh_hinh_bien":"b","o_nhiem_tong_hop":"c"}' % x
+    base = spark.createDataFrame([("a.json", '{"k":1}'), ("b.json", '{"k":2}'), ("c.json", "{bad")], "file_name string, doc string")
+    steps = [[(1, "a.json", sound("x")), (2, "a.json", sound("y")), (1, "b.json", "{}")], [(3, "b.json", sound("z")), (3, "c.json", sound("w"))]]
+    for i, step in enumerate(steps):
+        spark.createDataFrame(step, "at int, file_name string, answer string").coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+        stream = spark.readStream.schema("at int, file_name string, answer string").parquet(str(tmp_path / "in"))
+        refresh(stream, base, str(tmp_path / "out"), str(tmp_path / "ck")).awaitTermination(60)
+        got = {r.file_name: r.doc for r in current(spark, str(tmp_path / "out"), base).collect()}
+        assert '"y"' in got["a.json"] and ('"z"' in got["b.json"]) == (i == 1) and got["c.json"] == "{bad"
+    assert {r.file_name: r.doc for r in current(spark, str(tmp_path / "none"), base).collect()}["a.json"] == '{"k":1}'
+
+
+def test_providers(spark):
+    from tessera.operators import geocode as g
+
+    points = spark.createDataFrame([(i, 16.05, 108.24) for i in (1, 2, 2, 3, 4)], "id int, lat double, lon double").withColumns({"bundle": F.lit("clash"), "error": F.lit("clash")})
+    component = '{"results":[{"formatted_address":"cũ","address_components":[{"long_name":"phường Hải Châu","types":["sublocality"]},{"long_name":"Đà Nẵng","types":["locality"]}]}]}'
+    first = spark.createDataFrame([(1, component, None), (2, None, "HTTP 500"), (3, "{bad", None)], "id int, payload string, error string")
+    second = spark.createDataFrame([(2, '{"display_name":"n","address":{"quarter":"xã Hòa Vang","city":"Huế"}}', None), (3, '{"error":"Unable"}', None)], "id int, payload string, error string")
+    predictions = spark.createDataFrame([(1, '{"predictions":[]}', None)], "id int, payload string, error string")
+    provider = g.Fallback(g.RecordedComponents(first, predictions), g.RecordedAddresses(second))
+    rows = provider.bundles(points, "id").orderBy("id").collect()
+    assert rows[0]["bundle_"].current.commune == "phường Hải Châu" and rows[0]["bundle_"].legacy.formatted_address == "cũ" and rows[0]["error_"] is None
+    assert rows[1] == rows[2] and rows[1]["bundle_"].legacy is None and "HTTP 500" in rows[1]["bundle_"].current.payload
+    assert rows[3]["error_"] == "Dịch vụ bản đồ trả về lỗi: Unable" and rows[4]["error_"] == g.UNKNOWN_REASON
+    got = g.resolve_with(provider, points, "id").orderBy("id").collect()
+    assert [r.resolution.error for r in got] == [None] * 3 + [rows[3]["error_"], rows[4]["error_"]]
+    assert [r.resolution.current_match and r.resolution.current_match.commune_code for r in got] == ["da-nang-hai-chau", "da-nang-hoa-vang", "da-nang-hoa-vang", None, None]
+    assert got[1].resolution.debug.provider_conflict and got[0].resolution.resolution_path[1] == "openmap-with-fallback_reverse_geocode" and got[3].resolution.confidence is None
+    zones = g.resolve_with(g.RecordedZones(), points, "id")
+    assert zones.count() == 5 and zones.first().resolution.confidence == "high"
+    with pytest.raises(NotImplementedError):
+        g.Provider().bundles(points, "id")
