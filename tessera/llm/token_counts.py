@@ -57,20 +57,20 @@ def count_tokens(docs: DataFrame, cache: str | None = None, name: str = tokens.B
     version = tokens.version(name)
     keyed = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("raw"), normalise(F.col("text")).alias("text")).withColumn("digest", F.unhex(F.sha2("text", 256)))
     sizes = cut(keyed.select("doc_id", "digest", F.octet_length("raw").cast("long").alias("n_bytes")), "token-digests")
-    asked = cut(sizes.groupBy("digest").agg((F.count("*") > 1).alias("shared")), "token-asked")
+    asked = cut(sizes.groupBy("digest").agg((F.count("*") > 1).alias("shared")), "token-asked", tidy=False)
 
     path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(cache)
-    exists = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(path)
-    cached = spark.read.schema(CACHE).parquet(cache) if exists else spark.createDataFrame([], CACHE)
-    hits = cached.where(F.col("version") == version).join(asked.select("digest"), "digest", "left_semi")
-    known = cut(hits.groupBy("digest").agg(F.max("n_tokens").alias("n_tokens")), "token-known")
+    known = None
+    if path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(path):
+        hits = spark.read.schema(CACHE).parquet(cache).where(F.col("version") == version).join(asked.select("digest"), "digest", "left_semi")
+        known = cut(hits.groupBy("digest").agg(F.max("n_tokens").alias("n_tokens")), "token-known", tidy=False)
 
     # The misses: read from the scan, but for digests of several rows, of which one row a task is sent.
     texts = keyed.select("digest", "text")
-    missing = cut(asked.join(known.select("digest"), "digest", "left_anti"), "token-missing")
+    missing = asked if known is None else cut(asked.join(known.select("digest"), "digest", "left_anti"), "token-missing", tidy=False)
     twice = missing.where("shared").select("digest")
-    skip = cut(known.select("digest").unionByName(twice), "token-skip")
-    if skip.count() <= missing.count():
+    skip = twice if known is None else cut(known.select("digest").unionByName(twice), "token-skip", tidy=False)
+    if known is None or skip.count() <= missing.count():
         alone = key_join(texts, skip, ["digest"], "left_anti", rows=FEW)
     else:
         alone = key_join(texts, missing.where("not shared").select("digest"), ["digest"], "left_semi", rows=FEW)
@@ -80,6 +80,9 @@ def count_tokens(docs: DataFrame, cache: str | None = None, name: str = tokens.B
     encoded.select("digest", F.lit(version).alias("version"), "n_tokens").write.mode("append").parquet(cache)
 
     # Both sides of the join are tables, and nothing stands between their shuffles and the join: AQE splits a hot digest.
-    counts = cut(known.unionByName(encoded), "token-all")
-    discard(asked, known, missing, skip, encoded)
+    counts = encoded
+    if known is not None:
+        counts = cut(known.unionByName(encoded), "token-all", tidy=False)
+        discard(known, missing, skip, encoded)
+    discard(asked)
     return sizes.join(counts, "digest").select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > limit).alias("over_limit"))
