@@ -12,8 +12,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Rows per Arrow batch: texts may be long, so a batch of the default 10,000 rows could be gigabytes.
-ARROW_ROWS = 1000
+#: Rows and bytes per Arrow batch: texts may be long, so a batch of the default 10,000 rows could be gigabytes.
+ARROW_ROWS, ARROW_BYTES = 1000, 8 << 20
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -96,8 +96,9 @@ def drop_folder(spark: SparkSession, path: str) -> None:
 
 
 def prepare(spark: SparkSession) -> SparkSession:
-    """Bound the rows of Arrow batches between the JVM and Python."""
+    """Bound the rows and bytes of Arrow batches between the JVM and Python."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(ARROW_ROWS))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(ARROW_BYTES))
     return spark
 
 

@@ -13,8 +13,9 @@ from __future__ import annotations
 
 import base64
 import hashlib
+import json
 import os
-from functools import lru_cache
+from functools import cached_property, lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -25,6 +26,8 @@ from tessera.llm import textblocks as tb
 BPE = "byte_bpe_50k.json"
 #: Pieces and bytes of pieces that a worker remembers; beyond either it forgets all and begins anew.
 REMEMBERED, REMEMBERED_BYTES = 400_000, 16 << 20
+#: Bytes of text that are encoded at once, unless a single text is longer.
+BLOCK_BYTES = 1 << 19
 
 
 def tokenizer_path(name: str = BPE) -> str:
@@ -45,27 +48,39 @@ def version(name: str = BPE) -> str:
 
 
 class Library:
-    """Any tokenizer of the two libraries, text by text."""
+    """Any tokenizer of the two libraries, text by text. It is loaded when a text first needs it."""
 
     def __init__(self, path: str):
+        self.path = path
         if path.endswith(".json"):
+            with open(path, "rb") as f:
+                added = json.load(f).get("added_tokens") or []
+            self.special_ids = {t["id"]: t["content"].encode() for t in added}
+        else:
+            self.special_ids = {}
+        self.special = sorted(self.special_ids.values())
+
+    @cached_property
+    def model(self):
+        if self.path.endswith(".json"):
             os.environ["TOKENIZERS_PARALLELISM"] = "false"
             from tokenizers import Tokenizer
 
-            model = Tokenizer.from_file(path)
+            model = Tokenizer.from_file(self.path)
             model.no_truncation()
             model.no_padding()
-            self.one = lambda text: model.encode(text, add_special_tokens=False).ids
-            self.decode = lambda ids: model.decode(ids, skip_special_tokens=False)
-            self.special = sorted(t.content.encode() for t in model.get_added_tokens_decoder().values())
-            self.special_ids = {i: t.content.encode() for i, t in model.get_added_tokens_decoder().items()}
-        else:
-            import sentencepiece
+            return model
+        import sentencepiece
+
+        return sentencepiece.SentencePieceProcessor(model_file=self.path)
 
-            model = sentencepiece.SentencePieceProcessor(model_file=path)
-            self.one = lambda text: model.encode(text, num_threads=1)
-            self.decode = model.decode
-            self.special, self.special_ids = [], {}
+    def one(self, text: str) -> list[int]:
+        if self.path.endswith(".json"):
+            return self.model.encode(text, add_special_tokens=False).ids
+        return self.model.encode(text, num_threads=1)
+
+    def decode(self, ids: list[int]) -> str:
+        return self.model.decode(ids, skip_special_tokens=False) if self.path.endswith(".json") else self.model.decode(ids)
 
     def texts(self, ids: np.ndarray, bounds: np.ndarray) -> list[bytes]:
         """The bytes of the segments ids[bounds[i] : bounds[i + 1]]."""
@@ -106,9 +121,28 @@ class Pieces(Library):
         return [data[a:b] for a, b in zip(edges[:-1], edges[1:], strict=True)]
 
     def forget(self) -> None:
-        self.keys, self.at, self.size = np.empty(0, np.uint64), np.empty(0, np.int64), np.empty(0, np.int64)
+        none = np.empty(0, np.uint64), np.empty(0, np.int64), np.empty(0, np.int64)
+        #: Keys in order, where each piece's ids begin, and how many there are: of long known pieces, and of recent ones.
+        self.old, self.recent = none, none
         self.ids, self.learned = np.empty(0, np.uint32), 0
 
+    def find(self, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Whether each piece is remembered, where its ids begin, and how many there are."""
+        known, at, size = np.zeros(len(keys), bool), np.zeros(len(keys), np.int64), np.zeros(len(keys), np.int64)
+        for k, a, n in (self.old, self.recent):
+            if len(k):
+                slot = np.searchsorted(k, keys)
+                slot[slot == len(k)] = 0
+                hit = k[slot] == keys
+                known |= hit
+                at[hit], size[hit] = a[slot[hit]], n[slot[hit]]
+        return known, at, size
+
+    @staticmethod
+    def merged(one: tuple, two: tuple) -> tuple:
+        order = np.argsort(np.concatenate([one[0], two[0]]), kind="stable")
+        return tuple(np.concatenate([x, y])[order] for x, y in zip(one, two, strict=True))
+
     @staticmethod
     def cuts(block: tb.Block) -> np.ndarray:
         """Where pieces begin: at each text, and at white space in ASCII after a character that is none."""
@@ -139,16 +173,14 @@ class Pieces(Library):
         starts = self.cuts(block)
         ends = np.append(starts[1:], n)
         keys, first, which = np.unique(tb.span_hashes(block.data, starts, ends), return_index=True, return_inverse=True)
-        if len(self.keys) > REMEMBERED or self.learned > REMEMBERED_BYTES:
+        if len(self.old[0]) + len(self.recent[0]) > REMEMBERED or self.learned > REMEMBERED_BYTES:
             self.forget()
-        slot = np.searchsorted(self.keys, keys)
-        new = np.ones(len(keys), bool)
-        old = slot < len(self.keys)
-        new[old] = self.keys[slot[old]] != keys[old]
-        if new.any():
+        known, at, size = self.find(keys)
+        if not known.all():
+            new = ~known
             self.learn(keys[new], block.data, starts[first[new]], ends[first[new]])
-            slot = np.searchsorted(self.keys, keys)
-        at, size = self.at[slot][which], self.size[slot][which]
+            _, at, size = self.find(keys)
+        at, size = at[which], size[which]
         ids = self.ids[tb.ragged(at, size)]
         ends_at = np.concatenate(([0], np.cumsum(size)))
         return ids, ends_at[np.searchsorted(starts, block.bounds)]
@@ -178,9 +210,9 @@ class Pieces(Library):
             base += len(ids)
             rest += ids
         self.ids = np.concatenate([self.ids, fresh, np.array(rest, np.uint32)])
-        merged = np.concatenate([self.keys, keys])
-        order = np.argsort(merged, kind="stable")
-        self.keys, self.at, self.size = merged[order], np.concatenate([self.at, where])[order], np.concatenate([self.size, count])[order]
+        self.recent = self.merged(self.recent, (keys, where, count))
+        if len(self.recent[0]) > max(20_000, len(self.old[0]) // 4):
+            self.old, self.recent = self.merged(self.old, self.recent), tuple(x[:0] for x in self.old)
 
 
 @lru_cache
@@ -194,5 +226,5 @@ def encode(column: pa.Array, name: str = BPE):
     """For each block of the column: the block, its ids and where each text's ids begin (one more than texts)."""
     if isinstance(column, pa.ChunkedArray):
         column = column.combine_chunks()
-    for block in tb.blocks(pc.fill_null(column, "")):
+    for block in tb.blocks(pc.fill_null(column, ""), BLOCK_BYTES):
         yield block, *coder(name).block(block)
