@@ -132,7 +132,7 @@ def last_write_wins(spark, sf_dir):
     return provinces.last_by_key(o, "keys", "o_orderkey", "o_orderkey")
 
 
-@query("SELECT c_custkey,coalesce(CASE WHEN c_custkey%3=0 THEN c_custkey*1.5 END,CASE WHEN c_custkey%5<>0 THEN c_custkey*2.5 END) AS area_km2,coalesce(CASE WHEN c_custkey%4=0 THEN 't'||c_custkey END,CASE WHEN c_custkey%2=0 THEN 'a'||c_custkey END,'code') AS admin_code,CASE WHEN c_custkey%3=0 THEN '' ELSE 'n'||c_custkey||',m' END||CASE WHEN c_custkey%7=0 THEN CASE WHEN c_custkey%3=0 THEN 'Lào' ELSE ',Lào' END ELSE '' END AS neighbours FROM customer")
+@query("SELECT c_custkey,CAST(coalesce(CASE WHEN c_custkey%3=0 THEN c_custkey*1.5 END,CASE WHEN c_custkey%5<>0 THEN c_custkey*2.5 END) AS DOUBLE) AS area_km2,coalesce(CASE WHEN c_custkey%4=0 THEN 't'||c_custkey END,CASE WHEN c_custkey%2=0 THEN 'a'||c_custkey END,'code') AS admin_code,CASE WHEN c_custkey%3=0 THEN '' ELSE 'n'||c_custkey||',m' END||CASE WHEN c_custkey%7=0 THEN CASE WHEN c_custkey%3=0 THEN 'Lào' ELSE ',Lào' END ELSE '' END AS neighbours FROM customer")
 def profile_display(spark, sf_dir):
     none = F.array().cast("array<string>")
     double = lambda x: x.cast("double")
@@ -415,7 +415,7 @@ def _province_pages(spark, sf_dir) -> DataFrame:
     return rows(spark, sf_dir, "nation").select("n_nationkey", "n_name", F.concat(meta, F.replace(summary, F.lit('"'), F.lit('\\"')), narrative).alias("html"))
 
 
-@query("SELECT n_nationkey,CASE WHEN n_nationkey=5 THEN 'no summary for nowhere' END AS error,CASE WHEN n_nationkey<>5 THEN 'Tỉnh '||n_name END AS province_name_full,CASE WHEN n_nationkey<>5 THEN 'http://i/'||n_name END AS hero_image_url,CASE WHEN n_nationkey<>5 THEN 'alt' END AS hero_image_alt,CASE WHEN n_nationkey<>5 THEN 1234.5 END AS area_km2,CASE WHEN n_nationkey<>5 THEN CAST(n_nationkey*1000 AS DOUBLE) END AS population,CASE WHEN n_nationkey=5 THEN NULL WHEN n_nationkey%3=0 THEN '11,12' WHEN n_nationkey%3=1 THEN '21,22' ELSE '31,32' END AS plates,CASE WHEN n_nationkey<>5 THEN 'Một đoạn văn.' END AS overview,CASE WHEN n_nationkey=5 THEN NULL WHEN n_nationkey%2=0 THEN 'bd' ELSE 'Biên giới dài' END AS boundary,CASE WHEN n_nationkey<>5 THEN 'Mới hơn' END AS update_note,CASE WHEN n_nationkey=5 THEN NULL WHEN n_nationkey%2=0 THEN 'LB' ELSE 'Ông N' END AS secretary,CASE WHEN n_nationkey=5 THEN NULL WHEN n_nationkey%2=0 THEN 'Bà M' ELSE 'LC' END AS chairman,CASE WHEN n_nationkey=5 THEN NULL WHEN n_nationkey%2=0 THEN 1.5 ELSE 2500 END AS grdp,CASE WHEN n_nationkey<>5 THEN 61.5 END AS income,CASE WHEN n_nationkey<>5 THEN 'A,B' END AS borders FROM nation")
+@query("SELECT n_nationkey,CASE WHEN n_nationkey=5 THEN 'no summary for nowhere' END AS error,CASE WHEN n_nationkey<>5 THEN 'Tỉnh '||n_name END AS province_name_full,CASE WHEN n_nationkey<>5 THEN 'http://i/'||n_name END AS hero_image_url,CASE WHEN n_nationkey<>5 THEN 'alt' END AS hero_image_alt,CAST(CASE WHEN n_nationkey<>5 THEN 1234.5 END AS DOUBLE) AS area_km2,CASE WHEN n_nationkey<>5 THEN CAST(n_nationkey*1000 AS DOUBLE) END AS population,CASE WHEN n_nationkey=5 THEN NULL WHEN n_nationkey%3=0 THEN '11,12' WHEN n_nationkey%3=1 THEN '21,22' ELSE '31,32' END AS plates,CASE WHEN n_nationkey<>5 THEN 'Một đoạn văn.' END AS overview,CASE WHEN n_nationkey=5 THEN NULL WHEN n_nationkey%2=0 THEN 'bd' ELSE 'Biên giới dài' END AS boundary,CASE WHEN n_nationkey<>5 THEN 'Mới hơn' END AS update_note,CASE WHEN n_nationkey=5 THEN NULL WHEN n_nationkey%2=0 THEN 'LB' ELSE 'Ông N' END AS secretary,CASE WHEN n_nationkey=5 THEN NULL WHEN n_nationkey%2=0 THEN 'Bà M' ELSE 'LC' END AS chairman,CAST(CASE WHEN n_nationkey=5 THEN NULL WHEN n_nationkey%2=0 THEN 1.5 ELSE 2500 END AS DOUBLE) AS grdp,CAST(CASE WHEN n_nationkey<>5 THEN 61.5 END AS DOUBLE) AS income,CASE WHEN n_nationkey<>5 THEN 'A,B' END AS borders FROM nation")
 def province_snapshots(spark, sf_dir):
     slug = F.when(nation() == 5, "nowhere").otherwise(F.lower("n_name"))
     found = _province_pages(spark, sf_dir).select("n_nationkey", etl.snapshot(F.col("html"), F.col("n_name"), slug, F.lit("s")).alias("s"))
@@ -516,7 +516,7 @@ def request_urls(spark, sf_dir):
     return names(spark, sf_dir).select("c_custkey", text.with_query(F.lit("https://maps.example/search"), q=F.col("raw")).alias("url"), text.with_query(F.lit("https://maps.example/style.json"), apikey=F.concat(F.lit("k"), key())).alias("style"))
 
 
-@query("SELECT c_custkey,c_custkey%3=0 AS is_object,CASE WHEN c_custkey%3=1 THEN c_custkey%4 ELSE 0 END AS n_items FROM customer")
+@query("SELECT c_custkey,c_custkey%3=0 AS is_object,CAST(CASE WHEN c_custkey%3=1 THEN c_custkey%4 ELSE 0 END AS INT) AS n_items FROM customer")
 def payload_guards(spark, sf_dir):
     items = F.array_join(F.transform(F.sequence(F.lit(0), (key() % 4).cast("int")), lambda i: i.cast("string")), ",")
     doc = F.try_parse_json(F.when(key() % 3 == 0, '{"a":1}').when((key() % 3 == 1) & (key() % 4 == 0), "[]").when(key() % 3 == 1, F.concat(F.lit("["), F.regexp_replace(items, "^0,", ""), F.lit("]"))).otherwise("7"))
