@@ -561,3 +561,19 @@ def test_string_ids_in_archives(spark):
     got = {(r.page_id, r.record_type, r.refers_to) for r in warc.read(warc.write(df)).collect()}
     assert got == {("a b/%", "revisit", "z>\n"), ("z>\n", "response", None), (None, "revisit", "z>\n"), ("\u00e9", "response", None)}
     assert warc.file_system.__doc__ and warc.read(warc.write(df.limit(0))).schema["page_id"].dataType.simpleString() in ("string", "bigint")
+
+
+def test_workers_forget_and_learn_again(docs):
+    import pyarrow as pa
+
+    texts = [r.text or "" for r in docs.orderBy("doc_id").limit(80).collect()]
+    want = [library_ids(t) for t in texts]
+    for remembered, size in ((50, 1 << 30), (1 << 30, 2000), (1 << 30, 1 << 30)):
+        with pytest.MonkeyPatch.context() as patch:
+            patch.setattr(tokens, "REMEMBERED", remembered)
+            patch.setattr(tokens, "REMEMBERED_BYTES", size)
+            patch.setattr(tokens, "BLOCK_BYTES", 3000)
+            got = [ids[at[i] : at[i + 1]].tolist() for _ in range(2) for b, ids, at in tokens.encode(pa.array(texts)) for i in range(len(b))]
+        assert got == want * 2
+    coder = tokens.coder(tokens.BPE)
+    assert len(np.unique(coder.old[0])) == len(coder.old[0]) and not np.isin(coder.recent[0], coder.old[0]).any()
