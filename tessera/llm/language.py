@@ -187,7 +187,7 @@ def _letters(block: tb.Block, i: int) -> bool:
 
 
 def _label(column: pa.Array, net: Network | None) -> Iterator[tuple[tb.Block, list[str], list[float]]]:
-    for block in tb.blocks(column, 1 << 20):
+    for block in tb.blocks(column):
         n = len(block)
         letters = np.array([_letters(block, i) for i in range(n)])
         if net is None:
@@ -226,7 +226,7 @@ def keep(docs: DataFrame, net: Network | None, least: float = LEAST, languages:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if net is None:  # nothing was labelled: that says nothing against these texts
-                good = [wanted is None and _letters(block, i) for block in tb.blocks(batch.column(where), 1 << 20) for i in range(len(block))]
+                good = [wanted is None and _letters(block, i) for block in tb.blocks(batch.column(where)) for i in range(len(block))]
             else:
                 good = [x != UNKNOWN and score >= least and (wanted is None or x in wanted) for _, langs, scores in _label(batch.column(where), net) for x, score in zip(langs, scores, strict=True)]
             yield batch.filter(pa.array(good, pa.bool_()))

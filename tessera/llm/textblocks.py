@@ -14,7 +14,7 @@ import numpy as np
 import pyarrow as pa
 
 #: Bytes of text that one kernel call takes at most, unless a single text is longer.
-SLICE_BYTES = 1 << 20
+SLICE_BYTES = 1 << 19
 
 #: Bytes from which on a span is hashed by xxh3.
 LONG = 32
