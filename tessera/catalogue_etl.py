@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from tessera.catalogue import COMMUNE_SQL, NAMES_SQL, ORACLE_SQL, PROVINCE_SQL, fold_sql, lit, names, norm_sql, points, points_sql, query, rows, values
 from tessera.functions import geo, lookup, numeric, text
-from tessera.operators import address, etl, geocode, knowledge, profile, provinces, resolve
+from tessera.operators import address, etl, geocode, knowledge, profile, provinces, resolve, union
 from tessera.sources import files, seeds
 
 NONE = "CAST(NULL AS VARCHAR)"
@@ -353,6 +353,19 @@ def merged_features(spark, sf_dir):
     return merged.select("province_id", "province_code", "province_name", "province_kind", "parts", F.array_join(wests, ",").alias("wests"))
 
 
+@query("WITH c AS (SELECT DISTINCT p_brand,p_size%7 AS x,p_size//7 AS y FROM part),s AS (SELECT a.p_brand,count(*) AS shared FROM c a JOIN c b ON a.p_brand=b.p_brand AND abs(a.x-b.x)+abs(a.y-b.y)=1 GROUP BY a.p_brand) SELECT p_brand,count(*) AS area,4*count(*)-coalesce(min(shared),0) AS boundary FROM c LEFT JOIN s USING (p_brand) GROUP BY p_brand")
+def united_features(spark, sf_dir):
+    """Cells of a grid, a unit a brand: area and length of the boundary of their union."""
+    at = lambda c: F.expr(c).cast("double")
+    cells = rows(spark, sf_dir, "part").select("p_brand", F.array(_square(at("p_size % 7"), at("p_size div 7"), F.lit(1.0))).alias("cell")).distinct()
+    merged = union.united(cells.groupBy("p_brand").agg(F.array_sort(F.collect_list("cell")).alias("geometry")))
+    over = lambda items, f: F.aggregate(items, F.lit(0.0), lambda s, x: s + f(x))
+    steps = lambda r: F.arrays_zip(F.slice(r, 1, F.size(r) - 1).alias("a"), F.slice(r, 2, F.size(r) - 1).alias("b"))
+    length = lambda e: F.abs(e["a"]["lon"] - e["b"]["lon"]) + F.abs(e["a"]["lat"] - e["b"]["lat"])
+    area = over(F.col("geometry"), lambda p: 2 * geo.ring_area(p[0]) - over(p, geo.ring_area))
+    return merged.select("p_brand", area.cast("long").alias("area"), over(F.flatten("geometry"), lambda r: over(steps(r), length)).cast("long").alias("boundary"))
+
+
 @query("SELECT 99 AS ord,'Atlantis' AS name")
 def unmatched_features(spark, sf_dir):
     return etl.unmatched(_former(spark), seeds.former_names(spark)).select("ord", "name")
