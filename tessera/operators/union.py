@@ -111,13 +111,21 @@ def union_of(polygons: list[list[list[Point]]]) -> list[list[list[Point]]] | Non
         return None
     # Winding of the other rings around the middle of a ring's first edge, which is on none of them.
     rings = [(r, _area(r) > 0, ((r[0][0] + r[1][0]) / 2, (r[0][1] + r[1][1]) / 2)) for r in _rings(kept)]
-    around = [sum((1 if left else -1) * _inside(r, p) for j, (r, left, _) in enumerate(rings) if j != i) for i, (_, _, p) in enumerate(rings)]
-    outer = [[r] for (r, left, _), n in zip(rings, around, strict=True) if left and n == 0]
-    for (r, left, p), n in zip(rings, around, strict=True):
-        if not left and n == 1:
-            min((o for o in outer if _inside(o[0], p)), key=lambda o: _area(o[0])).append(r)
+    boxes = np.array([[*map(min, zip(*r, strict=True)), *map(max, zip(*r, strict=True))] for r, _, _ in rings]).reshape(-1, 4)
+
+    def holders(i: int) -> list[int]:
+        p = rings[i][2]
+        near = np.flatnonzero((boxes[:, :2] <= p).all(axis=1) & (boxes[:, 2:] >= p).all(axis=1)).tolist()
+        return [j for j in near if j != i and _inside(rings[j][0], p)]
+
+    held = [holders(i) for i in range(len(rings))]
+    around = [sum(1 if rings[j][1] else -1 for j in h) for h in held]
+    outer = {i: [r] for i, (r, left, _) in enumerate(rings) if left and around[i] == 0}
+    for i, (r, left, _) in enumerate(rings):
+        if not left and around[i] == 1:
+            outer[min((j for j in held[i] if j in outer), key=lambda j: _area(rings[j][0]))].append(r)
     closed = lambda r: [*(s := _straightened(r)), s[0]]
-    return [[closed(r) for r in p] for p in sorted(outer)]
+    return [[closed(r) for r in p] for p in sorted(outer.values())]
 
 
 def united(features: DataFrame, geometry: str = "geometry") -> DataFrame:
