@@ -156,33 +156,48 @@ def _merged(sent: DataFrame) -> DataFrame:
     return sent.groupBy("bucket").applyInArrow(run, "block long, columns binary, counts binary")
 
 
-def _blocked(rows: DataFrame, grams: str) -> DataFrame:
-    """Rows gathered to blocks of bounded size: block, sigs, ns, and their shingles."""
+def _gathered(rows: Iterator[tuple], number: int) -> Iterator[pa.RecordBatch]:
+    """Rows of sig, n, shingles as blocks of bounded size, numbered from `number`."""
+    sigs, ns, blobs, size = [], [], [], 0
+
+    def out() -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays(
+            [pa.array([number]), pa.array([sigs], pa.list_(pa.binary())), pa.array([ns], pa.list_(pa.int64())), pa.array([blobs], pa.list_(pa.binary()))], ["block", "sigs", "ns", "grams"]
+        )
+
+    for sig, n, blob in rows:
+        sigs.append(sig)
+        ns.append(n)
+        blobs.append(blob)
+        size += len(blob) // 8
+        if size >= BLOCK_GRAMS:
+            yield out()
+            number += 1
+            sigs, ns, blobs, size = [], [], [], 0
+    if sigs:
+        yield out()
+
+
+def _blocked(rows: DataFrame, grams: str, k: int | None = None) -> DataFrame:
+    """Rows of sig, n and shingles gathered to blocks of bounded size: block, sigs, ns, and their shingles.
+
+    k: rows hold a text in `grams`; its k-word shingles are taken in the same worker."""
 
     @tidied
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        number = TaskContext.get().partitionId() << 32
-        sigs, ns, blobs, size = [], [], [], 0
-
-        def out() -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays(
-                [pa.array([number]), pa.array([sigs], pa.list_(pa.binary())), pa.array([ns], pa.list_(pa.int64())), pa.array([blobs], pa.list_(pa.binary()))], ["block", "sigs", "ns", "grams"]
-            )
+        def each() -> Iterator[tuple]:
+            for batch in batches:
+                sigs = batch.column("sig").to_pylist()
+                if k is None:
+                    yield from zip(sigs, batch.column("n").to_pylist(), batch.column(grams).to_pylist(), strict=True)
+                    continue
+                for block, sets in _sets(batch.column(grams), k):
+                    yield from ((sigs[block.first + i], len(x), x.tobytes()) for i, x in enumerate(sets))
 
-        for batch in batches:
-            for sig, n, blob in zip(batch.column("sig").to_pylist(), batch.column("n").to_pylist(), batch.column(grams).to_pylist(), strict=True):
-                sigs.append(sig)
-                ns.append(n)
-                blobs.append(blob)
-                size += len(blob) // 8
-                if size >= BLOCK_GRAMS:
-                    yield out()
-                    number += 1
-                    sigs, ns, blobs, size = [], [], [], 0
-        if sigs:
-            yield out()
+        # Numbers of texts' blocks lie apart from those of other rows' blocks.
+        yield from _gathered(each(), 2 * TaskContext.get().partitionId() + (k is not None) << 32)
 
-    return rows.select("sig", "n", grams).mapInArrow(run, "block long, sigs array<binary>, ns array<long>, grams array<binary>")
+    return rows.select("sig", *["n"] * (k is None), grams).mapInArrow(run, "block long, sigs array<binary>, ns array<long>, grams array<binary>")
 
 
 def _with_counts(blocked: DataFrame, step, schema: str) -> DataFrame:
@@ -564,18 +579,12 @@ def _joined(docs: DataFrame, k: int, p: int, q: int, count: bool) -> DataFrame:
     by_id = cut(key_join(owners.where("doc_id is not null"), again, ["doc_id"], "left_anti", rows=FEW), "owners", tidy=False)
     by_sig = cut(owners.where("doc_id is null").unionByName(key_join(owners, again, ["doc_id"], "left_semi", rows=FEW)).select("sig"), "owners", tidy=False)
 
-    def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            wanted = batch.column("sig").to_pylist()
-            for block, sets in _sets(batch.column("text"), k):
-                own = wanted[block.first : block.first + len(block)]
-                yield pa.RecordBatch.from_arrays([pa.array(own, pa.binary()), pa.array([len(x) for x in sets], pa.int64()), _blobs(sets)], ["sig", "n", "grams"])
-
-    full = key_join(texts, by_id, ["doc_id"], "inner", rows=FEW).select("sig", "text").mapInArrow(whole, "sig binary, n long, grams binary")
+    # Texts become blocks of shingles in one worker a task: two workers in a row would each keep their memory.
+    full = _blocked(key_join(texts, by_id, ["doc_id"], "inner", rows=FEW), "text", k)
     if not by_sig.isEmpty():
         others = key_join(_with_sig(_unnamed(texts, again), k, "sig", "set").select("sig", "n", "grams"), by_sig, ["sig"], "left_semi", rows=FEW)
-        full = full.unionByName(others.groupBy("sig").agg(F.any_value("n").alias("n"), F.any_value("grams").alias("grams")))
-    blocked = cut(_blocked(full, "grams"), "whole")
+        full = full.unionByName(_blocked(others.groupBy("sig").agg(F.any_value("n").alias("n"), F.any_value("grams").alias("grams")), "grams"))
+    blocked = cut(full, "whole")
     members = cut(_with_counts(blocked, _classes(rule), "sig binary, cls binary, own long, grams binary, counts binary"), "members")
     del full
     discard(blocked, living, by_id, by_sig, again)
