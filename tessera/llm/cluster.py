@@ -15,6 +15,8 @@ from pyspark.sql import functions as F
 
 #: Rows and bytes per Arrow batch: texts may be long, so a batch of the default 10,000 rows could be gigabytes.
 ARROW_ROWS, ARROW_BYTES = 1000, 8 << 20
+#: Bytes of a row group of tables that cut() writes: their rows are long, and each task holds a group to write or read it.
+ROW_GROUP = 32 << 20
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -77,7 +79,7 @@ def cut(df: DataFrame, name: str, tidy: bool = True) -> DataFrame:
     path = new_folder(df.sparkSession, name)
     if tidy:
         release(df.sparkSession)
-    df.write.parquet(path)
+    df.write.option("parquet.block.size", str(ROW_GROUP)).parquet(path)
     out = df.sparkSession.read.schema(df.schema).parquet(path)
     out.cut_path = path
     return out
