@@ -376,18 +376,23 @@ _PART = {"id": "p_partkey", "o": "p_size", "n": "p_name", "c": "p_partkey%50", "
 
 
 def _pages_of_units(spark, sf_dir) -> DataFrame:
-    """A page a brand: its parts as escaped unit records among other text."""
-    pieces = []
-    for i, piece in enumerate(_UNIT.replace("{{", "{").replace("}}", "}").replace("{", "\0").split("\0")):
-        key, mark, rest = piece.partition("}")
-        if i > 1 and mark and key in _PART:
-            pieces += [F.expr(_PART[key]).cast("string"), F.lit(rest)]
-        else:
-            pieces.append(F.lit(("{" if i else "") + piece))
-    unit = F.replace(F.concat(*pieces), F.lit('"'), F.lit('\\"'))
-    own = rows(spark, sf_dir, "part").select("p_brand", "p_partkey", unit.alias("u"))
-    joined = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("p_partkey", "u"))), lambda x: x["u"]), "<p>,</p>")
-    return own.groupBy("p_brand").agg(F.concat(F.lit("<html>["), joined, F.lit('{"id":1}]')).alias("html"))
+    """A page a brand: its parts as escaped unit records among other text. Parts are gathered as their fields, and written
+    out in the page's row."""
+    escaped = lambda c: F.replace(c, F.lit('"'), F.lit('\\"'))
+
+    def record(x: Column) -> Column:
+        pieces = []
+        for i, piece in enumerate(_UNIT.replace("{{", "{").replace("}}", "}").replace("{", "\0").split("\0")):
+            key, mark, rest = piece.partition("}")
+            if i > 1 and mark and key in _PART:
+                pieces += [x[key], escaped(F.lit(rest))]
+            else:
+                pieces.append(escaped(F.lit(("{" if i else "") + piece)))
+        return F.concat(*pieces)
+
+    fields = F.struct("p_partkey", *[escaped(F.expr(v).cast("string")).alias(k) for k, v in _PART.items()])
+    joined = F.array_join(F.transform(F.array_sort(F.collect_list(fields)), record), "<p>,</p>")
+    return rows(spark, sf_dir, "part").groupBy("p_brand").agg(F.concat(F.lit("<html>["), joined, F.lit('{"id":1}]')).alias("html"))
 
 
 @query("WITH u AS (SELECT p_brand,p_size AS ward_order,p_name AS ward_name,CAST(p_partkey%50 AS VARCHAR) AS ward_code,p_type AS ward_type,CASE WHEN p_partkey%3<>0 THEN p_brand END AS merger_from,CAST(p_partkey*1000 AS DOUBLE) AS population,p_retailprice AS area_km2,CASE WHEN p_partkey%2<>0 THEN 'D' END AS old_district,row_number() OVER (PARTITION BY p_brand,p_partkey%50 ORDER BY p_partkey) AS rn,p_partkey FROM part) SELECT p_brand,row_number() OVER (PARTITION BY p_brand ORDER BY ward_order,p_partkey) AS place,ward_order,ward_name,ward_code,ward_type,merger_from,population,area_km2,round(population/area_km2,2) AS density_per_km2,old_district FROM u WHERE rn=1")

@@ -8,8 +8,10 @@ from pyspark.sql import functions as F
 from tessera.functions import lookup, numeric, text
 from tessera.operators.resolve import free_name
 
-UNIT = (
-    r'\{"id":\d+,"created_at":"[^"]+","ward_order":(\d+),"ward_name":"([^"]+)","ward_code":"([^"]+)","ward_type":"([^"]+)","admin_center":"([^"]*)","merger_from":"([^"]*)",'
+# A unit record up to its ward code: enough to tell a code's first record, the only one that is read whole.
+_HEAD = r'\{"id":\d+,"created_at":"[^"]+","ward_order":(\d+),"ward_name":"([^"]+)","ward_code":"([^"]+)"'
+UNIT = _HEAD + (
+    r',"ward_type":"([^"]+)","admin_center":"([^"]*)","merger_from":"([^"]*)",'
     r'"province_id_ref":\d+,"province_code":\d+,"province_name":"([^"]+)","population":"?([^",]+)"?,"area":([^,}]+),"longitude":[^,}]+,"latitude":[^,}]+,"ward_ref_code":\d+,"tree_code":\d+,'
     r'"district":"[^"]*","search_normalized":"[^"]*","ward_slug":"([^"]+)","province_slug":"([^"]+)","updated_at":"[^"]+","old_province_name":(?:null|"[^"]*"),"old_province_slug":(?:null|"[^"]*"),"old_district":"([^"]*)"\}'
 )
@@ -104,12 +106,16 @@ def units_of(page: Column) -> Column:
             numeric.density(population, area).alias("density_per_km2"), u["ward_slug"].alias("ward_slug"), null(u["old_district"]).alias("old_district"),
         )
 
-    def ordered(found: Column) -> Column:
-        codes = F.transform(found, lambda u: u["ward_code"])
-        first = F.filter(F.transform(found, lambda u, i: F.struct(u["ward_order"].alias("ward_order"), i.alias("at"), (F.array_position(codes, u["ward_code"]) == i + 1).alias("first"), u.alias("u"))), lambda x: x["first"])
-        return F.transform(F.array_sort(first), lambda x: finish(x["u"]))
+    def first_of_code(found: Column) -> Column:
+        """found is sorted by code, then place: a code's first record follows another code's."""
+        return F.filter(found, lambda x, i: ~F.get(found, i - 1)["code"].eqNullSafe(x["code"]))
 
-    return lookup.let(F.transform(F.regexp_extract_all(page, F.lit(UNIT), F.lit(0)), read), ordered)
+    def placed(x: Column) -> Column:
+        return lookup.let(read(x["record"]), lambda u: F.struct(u["ward_order"].alias("ward_order"), x["at"].alias("at"), u.alias("u")))
+
+    found = F.transform(F.regexp_extract_all(page, F.lit(UNIT), F.lit(0)), lambda s, i: F.struct(F.regexp_extract(s, _HEAD, 3).alias("code"), i.alias("at"), s.alias("record")))
+    first = lookup.let(F.array_sort(found), first_of_code)
+    return F.transform(F.array_sort(F.transform(first, placed)), lambda x: finish(x["u"]))
 
 
 def summary_of(page: Column, slug: Column) -> Column:
